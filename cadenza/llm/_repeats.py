@@ -118,6 +118,33 @@ def _runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return segment, first - offsets[segment], last - first + 1
 
 
+def stretches(units: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size: int):
+    """What of a shard may repeat: (first, last, one, which, weight) or None.
+
+    Windows whose rolling hash is alone (and whose segment has no copy) can't repeat. The others form stretches
+    [first, last); `one` picks a stretch of each content, `which` tells each stretch's content, weight counts a content's places.
+    """
+    lengths = np.maximum(0, np.diff(offsets) - size + 1)
+    starts = T.ranges(offsets[:-1], lengths)
+    if not len(starts):
+        return None
+    weight = np.repeat(weights, lengths)
+    rolling = T.steps(units)
+    _, inverse, counts = np.unique(rolling.of(starts, starts + size), return_inverse=True, return_counts=True)
+    maybe = (counts[inverse] > 1) | (weight > 1)
+    if not maybe.any():
+        return None
+    apart = np.diff(starts) != 1
+    begin = maybe.copy()
+    begin[1:] &= ~maybe[:-1] | apart
+    stop = maybe.copy()
+    stop[:-1] &= ~maybe[1:] | apart
+    at = np.flatnonzero(begin)
+    first, last = starts[at], starts[np.flatnonzero(stop)] + size
+    _, one, which = np.unique(rolling.of(first, last), return_index=True, return_inverse=True)
+    return first, last, one, which, np.bincount(which, weight[at]).astype(np.int64)
+
+
 def _shards(size: int, words: bool, kernel: Kernel):
     """mapInArrow over rows sorted by anchor: (anchor, seg, begin, length) of each segment's repeated windows."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from cadenza.llm.substring import op2_substring_dedup
 from cadenza.llm.suffix_array import op10_suffix_array_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 

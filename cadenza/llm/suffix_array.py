@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
 from cadenza.llm._io import distinct_texts, table, text_key
-from cadenza.llm._repeats import repeated_spans
+from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 400
 GRAM = 64
@@ -94,37 +94,24 @@ def common_prefix_at_least(data: np.ndarray, order: np.ndarray, least: int) -> n
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
     """Flags of the window starts in `data` whose `size` bytes start at another place as well (or whose segment has copies).
 
-    Windows whose rolling hash is alone in the shard can't repeat; only the stretches of others are sorted.
+    Only stretches that may repeat are sorted, one of each content; a content at two places repeats throughout.
     """
     flags = np.zeros(len(data), bool)
-    lengths = np.maximum(0, np.diff(offsets) - size + 1)
-    starts = T.ranges(offsets[:-1], lengths)
-    if not len(starts):
+    found = stretches(data, offsets, weights, size)
+    if found is None:
         return flags
-    flags[starts] = np.repeat(weights > 1, lengths)
-    hashes = T.Rolling(data).of(starts, starts + size)
-    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    maybe = counts[inverse] > 1
-    if not maybe.any():
-        return flags
-    begin = maybe.copy()
-    begin[1:] &= ~maybe[:-1] | (np.diff(starts) != 1)
-    stop = maybe.copy()
-    stop[:-1] &= ~maybe[1:] | (np.diff(starts) != 1)
-    first, last = starts[np.flatnonzero(begin)], starts[np.flatnonzero(stop)] + size
-    # equal stretches are sorted once: two of them repeat all of their windows
-    _, one, which, times = np.unique(T.Rolling(data).of(first, last), return_index=True, return_inverse=True, return_counts=True)
-    ends = np.cumsum(last[one] - first[one] + 1)
-    body = np.full(int(ends[-1]), END, np.uint8)
-    spots = T.ranges(ends - (last[one] - first[one] + 1), last[one] - first[one])
-    body[spots] = data[T.ranges(first[one], last[one] - first[one])]
-    alike = common_prefix_at_least(body, order := suffix_order(body, size), size)
+    first, last, one, which, weight = found
+    length = (last - first)[one]
+    base = np.cumsum(length + 1) - (length + 1)
+    body = np.full(int((length + 1).sum()), END, np.uint8)
+    body[T.ranges(base, length)] = data[T.ranges(first[one], length)]
+    order = suffix_order(body, size)
+    alike = common_prefix_at_least(body, order, size)
     shared = np.zeros(len(body), bool)
     shared[order[alike]] = True
     shared[order[np.flatnonzero(alike) - 1]] = True
     n = last - first - size + 1
-    source = T.ranges((ends - (last[one] - first[one] + 1))[which], n)
-    flags[T.ranges(first, n)] |= shared[source] | np.repeat(times[which] > 1, n)
+    flags[T.ranges(first, n)] = shared[T.ranges(base[which], n)] | np.repeat(weight[which] > 1, n)
     return flags
 
 
@@ -205,11 +192,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     texts = distinct_texts(docs)
     hit = texts.join(repeated_byte_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
     key_a, key_b = text_key()
-    joined = docs.withColumns({"key_a": key_a, "key_b": key_b}).join(hit, ["key_a", "key_b"], "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("kept", "text"))
+    joined = docs.withColumns({"_key_a": key_a, "_key_b": key_b}).join(hit.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b", "kept": "_kept"}), ["_key_a", "_key_b"], "left")
+    text = F.when(F.col("text").isNotNull(), F.coalesce("_kept", "text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cadenza.llm import _repeats, suffix_array
+from cadenza.llm import _repeats, substring, suffix_array
 
 
 def brute_bytes(texts, size):
@@ -48,7 +48,7 @@ def test_bytes_as_brute_force(spark, monkeypatch, most):
 def test_whole_characters_stay(spark):
     texts = ["é" * 300 + "x", "y" + "é" * 300, "plain", None]
     docs = spark.createDataFrame([(i, t, "k", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, key_a string, n_chars long")
-    rows = {r.doc_id: r for r in suffix_array.without_repeats(docs.select("doc_id", "text", "n_chars"), 400).collect()}
+    rows = {r.doc_id: r for r in suffix_array.without_repeats(docs, 400).collect()}
     assert rows[0].text == "x" and rows[1].text == "y" and rows[2].text == "plain" and rows[3].text is None
     assert rows[0].n_chars == 1 and rows[2].n_chars == 5
 
@@ -70,3 +70,51 @@ def test_common_prefixes(seed):
         assert rows == sorted(rows)
         want = [False] + [a == b and len(b) == least for a, b in zip(rows, rows[1:], strict=False)]
         assert list(suffix_array.common_prefix_at_least(data, order, least)) == want
+
+
+def brute_words(texts, size):
+    lists = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + size]) for w in lists for i in range(len(w) - size + 1))
+    out = []
+    for w in lists:
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                gone[i : i + size] = [True] * size
+        out.append((len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("most", [5000, 2])
+def test_words_as_brute_force(spark, monkeypatch, most):
+    texts = made_texts(2, "ab \n é  ")
+    monkeypatch.setattr(substring, "GRAM", 3)
+    monkeypatch.setattr(substring, "repeated_spans", lambda *a, **b: _repeats.repeated_spans(*a, **b, most=most))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs, 7).collect()}
+    want = brute_words(texts, 7)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w[1] for w in want) > 100
+
+
+def test_passages_go(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    texts = ["one " + passage + " two", "three  " + passage, "clean  text", None, ""]
+    docs = spark.createDataFrame([(i, t, "k", "kept") for i, t in enumerate(texts)], "doc_id long, text string, key_a string, kept string")
+    rows = {r.doc_id: r for r in substring.without_passages(docs).collect()}
+    assert [rows[i].text for i in range(5)] == ["one two", "three", "clean  text", None, ""]
+    assert rows[0].key_a == "k"
+
+
+def test_automaton_counts_places():
+    r = random.Random(3)
+    sequences = [[r.randint(0, 2) for _ in range(r.randint(1, 60))] for _ in range(8)]
+    sequences.append(sequences[0])
+    a = substring.SuffixAutomaton()
+    for s in sequences:
+        a.add(s)
+    a.count(sequences, [1] * len(sequences))
+    for size in (2, 5, 9):
+        seen = Counter(tuple(s[i : i + size]) for s in sequences for i in range(len(s) - size + 1))
+        for s in sequences:
+            assert a.repeated(s, size) == [i + 1 >= size and seen[tuple(s[i + 1 - size : i + 1])] > 1 for i in range(len(s))]
