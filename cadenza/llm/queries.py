@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from cadenza.llm.decontamination import op9_benchmark_decontamination
 from cadenza.llm.substring import op2_substring_dedup
 from cadenza.llm.suffix_array import op10_suffix_array_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
