@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,11 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of finished jobs; it acts on what the driver's JVM has collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder as Parquet and read back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,3 +51,13 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("key_a", "key_b")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df, written once to the shared folder in buckets of the keys: later joins on them move the other side only."""
+    spark = df.sparkSession
+    name = f"t_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    release(spark)
+    return spark.table(name)

@@ -6,8 +6,8 @@ occur more than once anywhere are wanted, without shuffling every window:
 1. Each window gets an anchor, the smallest hashed `gram`-unit slice inside it. It depends on the
    window's content alone, so equal windows have equal anchors. Neighbouring windows with one
    anchor form a segment; every window lies in exactly one segment.
-2. Spark counts segments by (anchor, hash of the segment's units). Anchors seen once hold no
-   repeat and go; this is most of the text.
+2. Spark counts anchors. Those seen once hold no repeat and go, which is most of the text. What is
+   left is counted by (anchor, hash of the segment's units).
 3. One copy of each remaining segment's units is dealt to reference shards by its anchor, so
    all places of a window meet in one shard. A kernel (a suffix automaton, or a Burrows-Wheeler
    transform) finds which windows of the shard occur twice, counting copies.
@@ -33,7 +33,7 @@ from cadenza.llm._io import written
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 SALTS = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -218,24 +218,26 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     copies and no other neighbour go through the kernel as well; else equality settles them.
     """
     places = texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long")
-    kinds = places.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(F.struct("key_a", "key_b", "start")).alias("first"))
-    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("uses")).where("uses > 1")
+    place = F.xxhash64("key_a", "key_b", "start")
+    repeated = written(places.groupBy("anchor").agg(F.sum("copies").alias("uses")).where("uses > 1").select("anchor"))
+    candidates = written(places.join(repeated, "anchor"))
+    kinds = candidates.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(place).alias("first"))
+    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     salted = anchors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    wanted = written(
-        kinds.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds")
-    )
-    flagged = written(places.drop("copies").join(wanted, ["anchor", "seg"]))
+    wanted = written(kinds.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
+    flagged = written(candidates.drop("copies").join(wanted, ["anchor", "seg"]))
     alone = F.lit(False) if kernel_on_copies else F.col("kinds") == 1
     whole = flagged.where(alone).select("key_a", "key_b", "start", F.col("n").alias("length"))
     rest = flagged.where(~alone)
     asked = (
-        rest.where((F.col("first.key_a") == F.col("key_a")) & (F.col("first.key_b") == F.col("key_b")) & (F.col("first.start") == F.col("start")))
+        rest.where(F.col("first") == place)
         .groupBy("key_a", "key_b")
         .agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "weight", "kinds")).alias("asked"))
     )
     fields = "anchor long, seg long, weight long, n int, units binary"
     give = lambda keep: texts.join(asked, ["key_a", "key_b"]).withColumn("asked", F.filter("asked", lambda x: keep(x["kinds"]))).where(F.size("asked") > 0).mapInArrow(_contents(size, words), fields)
-    cold = give(lambda kinds: kinds <= most).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, words, kernel), "anchor long, seg long, begin int, length int")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = give(lambda kinds: kinds <= most).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, words, kernel), "anchor long, seg long, begin int, length int")
     answers = cold
     if not wanted.where(F.col("kinds") > most).isEmpty():
         answers = cold.unionByName(_count_hot(give(lambda kinds: kinds > most), size, words))

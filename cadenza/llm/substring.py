@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import distinct_texts, table, text_key
+from cadenza.llm._io import bucketed, distinct_texts, table, text_key
 from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 35
@@ -153,7 +153,7 @@ def _digest(size: int):
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256. A null text has no words."""
-    texts = distinct_texts(docs)
+    texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     found = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"], "left")
     by_text = found.mapInArrow(_digest(size), "key_a long, key_b long, n_words long, n_removed long, kept_sha256 string")
     return docs.select("doc_id", *text_key()).join(by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
@@ -180,7 +180,7 @@ def _kept(size: int):
 
 def without_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs whose repeated passages of `size` words are gone; such texts' words are joined by one space, others stay as they are."""
-    texts = distinct_texts(docs)
+    texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     hit = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
     key_a, key_b = text_key()
     joined = docs.withColumns({"_key_a": key_a, "_key_b": key_b}).join(hit.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b", "kept": "_kept"}), ["_key_a", "_key_b"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import distinct_texts, table, text_key
+from cadenza.llm._io import bucketed, distinct_texts, table, text_key
 from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 400
@@ -18,24 +18,32 @@ GRAM = 64
 END = 0xFF  # ends a segment; never part of UTF-8
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes at least: eight bytes first, then doubled ranks of what still ties."""
+FIRST = 8  # bytes that one integer sorts by
+
+
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes sorted by their first `depth` bytes at least, flags of rows that differ from the row before in the first eight).
+
+    Eight bytes are compared as one integer; ranks of what still ties are then doubled in reach.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    padded = np.concatenate([data, np.zeros(FIRST, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(FIRST):
         key = (key << np.uint64(8)) | padded[i : i + n]
     order = np.argsort(key)
     ordered = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
+    short = fresh.copy()
+    rows = np.arange(n)
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    reach = 8
+    rank[order] = np.maximum.accumulate(np.where(fresh, rows, 0))
+    reach = FIRST
     while reach < depth:
-        first = np.flatnonzero(fresh)
-        tied = np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n)))
-        at = np.flatnonzero(tied)
+        alone = fresh.copy()
+        alone[:-1] &= fresh[1:]
+        at = np.flatnonzero(~alone)
         if not len(at):
             break
         suffix = order[at]
@@ -43,48 +51,61 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
         pair = (rank[suffix].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         by = np.argsort(pair)
-        order[at] = suffix[by]
-        pair = pair[by]
+        suffix, pair = suffix[by], pair[by]
+        order[at] = suffix
         fresh[at[1:]] |= pair[1:] != pair[:-1]
-        rank[order[at]] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))[at]
+        rank[suffix] = np.maximum.accumulate(np.where(fresh[at], at, 0))
         reach *= 2
-    return order
+    return order, short
 
 
-def common_prefix_at_least(data: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """For each row of the suffix order, whether it shares its first `least` bytes with the row before.
+def common_prefix_at_least(data: np.ndarray, order: np.ndarray, short: np.ndarray, least: int) -> np.ndarray:
+    """For each row of the suffix order, whether it shares its first `least` bytes (eight or more) with the row before.
 
-    Breadth-first backward extension: the interval of the empty string is extended to the left by every byte that the
-    transform holds there. An interval of strings of length l whose end is not known yet fixes the common prefix there
-    as l - 1, and only such intervals are extended further, so lengths come in increasing order and all rounds together
-    handle each end once. What is still unknown when the length reaches `least` shares at least that much.
+    Breadth-first backward extension. The search starts with the intervals of all strings of eight bytes, whose ends are
+    the rows in `short`. An interval of length l is extended to the left by every byte that the transform holds in it. If the
+    end of the interval of length l + 1 that this gives is not known yet, the common prefix there is l, and the interval is
+    extended further; else it is left. So common prefixes come in increasing order, and all rounds together handle each
+    end once. Ends that are still unknown when the length reaches `least` share at least that much.
     """
     n = len(data)
     bwt = data[order - 1]
-    back = np.empty(n, np.int64)  # row of the suffix that is one byte longer
-    back[np.argsort(bwt, kind="stable")] = np.arange(n)
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(least):
-        wide = high - low > 1
-        single = back[low[~wide]]
-        low_next, high_next = [single], [single + 1]
-        if wide.any():
-            lengths = (high - low)[wide]
-            rows = T.ranges(low[wide], lengths)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
+    back = np.empty(n, np.int32)  # row of the suffix that is one byte longer
+    back[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    known = np.append(short, True)
+    low = np.flatnonzero(short).astype(np.int32)
+    high = np.append(low[1:], n).astype(np.int32)
+    owner_at = np.full(n, -1, np.int32)
+    run = np.cumsum(np.append(True, bwt[1:] != bwt[:-1]), dtype=np.int32)
+    for _ in range(FIRST, least):
+        mixed = run[low] != run[high - 1]  # else one byte stands before all of the interval
+        to, end = back[low[~mixed]], back[high[~mixed] - 1] + 1
+        new = ~known[end]
+        lows, highs = [to[new]], [end[new]]
+        if mixed.any():
+            low, high = low[mixed], high[mixed]
+            lengths = high - low
+            rows = T.ranges(low, lengths)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             to = back[rows]
-            by = np.argsort(to)
-            to, owner, symbol = to[by], owner[by], bwt[rows][by]
+            if len(to) > n >> 5:
+                owner_at[to] = owner
+                to = np.flatnonzero(owner_at >= 0).astype(np.int32)
+                owner = owner_at[to]
+                owner_at[to] = -1
+            else:
+                by = np.argsort(to)
+                to, owner = to[by], owner[by]
+            # a new interval where the owner or the prefixed byte changes; other rows of an interval are neighbours
             cut = np.ones(len(to), bool)
-            cut[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
+            cut[1:] = (owner[1:] != owner[:-1]) | (to[1:] != to[:-1] + 1)
+            cut[1:] |= data[order[to[1:]]] != data[order[to[:-1]]]
             first = np.flatnonzero(cut)
-            low_next.append(to[first])
-            high_next.append(to[np.append(first[1:], len(to)) - 1] + 1)
-        low, high = np.concatenate(low_next), np.concatenate(high_next)
-        new = ~known[high]
-        low, high = low[new], high[new]
+            last = np.append(first[1:], len(to)) - 1
+            new = ~known[to[last] + 1]
+            lows.append(to[first[new]])
+            highs.append(to[last[new]] + 1)
+        low, high = np.concatenate(lows), np.concatenate(highs)
         if not len(low):
             break
         known[high] = True
@@ -105,8 +126,8 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray,
     base = np.cumsum(length + 1) - (length + 1)
     body = np.full(int((length + 1).sum()), END, np.uint8)
     body[T.ranges(base, length)] = data[T.ranges(first[one], length)]
-    order = suffix_order(body, size)
-    alike = common_prefix_at_least(body, order, size)
+    order, short = suffix_order(body, size)
+    alike = common_prefix_at_least(body, order, short, size)
     shared = np.zeros(len(body), bool)
     shared[order[alike]] = True
     shared[order[np.flatnonzero(alike) - 1]] = True
@@ -150,7 +171,7 @@ def _digest(size: int):
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text counts as empty."""
-    texts = distinct_texts(docs)
+    texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     found = texts.join(repeated_byte_spans(texts, size), ["key_a", "key_b"], "left")
     by_text = found.mapInArrow(_digest(size), "key_a long, key_b long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return docs.select("doc_id", *text_key()).join(by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
@@ -189,7 +210,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Null texts stay null; rows, other columns and their order stay.
     """
-    texts = distinct_texts(docs)
+    texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     hit = texts.join(repeated_byte_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
     key_a, key_b = text_key()
     joined = docs.withColumns({"_key_a": key_a, "_key_b": key_b}).join(hit.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b", "kept": "_kept"}), ["_key_a", "_key_b"], "left")
