@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.decontamination import op9_benchmark_decontamination
+from cadenza.llm.licenses import op8_license_templates
 from cadenza.llm.packing import op6_harmonic_packing
 from cadenza.llm.substring import op2_substring_dedup
 from cadenza.llm.suffix_array import op10_suffix_array_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_wavelet_token_files": op7_wavelet_token_files,
+    "op8_license_templates": op8_license_templates,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
