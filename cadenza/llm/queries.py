@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.decontamination import op9_benchmark_decontamination
+from cadenza.llm.language import op5_language_id
 from cadenza.llm.licenses import op8_license_templates
 from cadenza.llm.packing import op6_harmonic_packing
 from cadenza.llm.substring import op2_substring_dedup
@@ -11,6 +12,7 @@ from cadenza.llm.wavelet import op7_wavelet_token_files
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_wavelet_token_files": op7_wavelet_token_files,
     "op8_license_templates": op8_license_templates,
