@@ -6,12 +6,14 @@ from cadenza.llm.decontamination import op9_benchmark_decontamination
 from cadenza.llm.language import op5_language_id
 from cadenza.llm.licenses import op8_license_templates
 from cadenza.llm.packing import op6_harmonic_packing
+from cadenza.llm.sharding import op4_balanced_sharding
 from cadenza.llm.substring import op2_substring_dedup
 from cadenza.llm.suffix_array import op10_suffix_array_dedup
 from cadenza.llm.wavelet import op7_wavelet_token_files
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_balanced_sharding": op4_balanced_sharding,
     "op5_language_id": op5_language_id,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_wavelet_token_files": op7_wavelet_token_files,
