@@ -15,7 +15,7 @@ from cadenza.llm import _text as T
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 _TAIL = r"^(?P<head>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 _encoders: dict[str, WordEncoder] = {}
@@ -38,7 +38,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         coded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.fromiter((w for w in coded.word_ids), np.int64, len(coded.ids)), minlength=len(words))
+        counts = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, np.array(coded.ids, np.uint32)])
@@ -47,7 +47,7 @@ class WordEncoder:
         """Numbers of the words in the store, after learning what is new."""
         if len(self.known) > self.most:
             self._clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        new = list(set(words) - self.known.keys())
         if new:
             self._learn(new)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -66,9 +66,10 @@ class WordEncoder:
         head = pc.if_else(parts.is_valid(), pc.struct_field(parts, "head"), spelled)
         tail = pc.fill_null(pc.struct_field(parts, "tail"), "")
         plain = pc.string_is_ascii(head)
-        head = pc.if_else(plain, pc.ascii_lower(head), head).to_pylist()
-        places = self._places([*head, *tail.to_pylist()])
-        first, second = places[: len(head)], places[len(head) :]
+        head, tail = pc.if_else(plain, pc.ascii_lower(head), head).dictionary_encode(), tail.dictionary_encode()
+        places = self._places([*head.dictionary.to_pylist(), *tail.dictionary.to_pylist()])
+        first = places[head.indices.to_numpy()]
+        second = places[len(head.dictionary) + tail.indices.to_numpy()]
         counts = np.diff(self.starts)
         one, more = counts[first], np.where(two, counts[second], 0)
         # ids of each different word, then of all words
