@@ -5,6 +5,7 @@ from __future__ import annotations
 from cadenza.llm.decontamination import op9_benchmark_decontamination
 from cadenza.llm.language import op5_language_id
 from cadenza.llm.licenses import op8_license_templates
+from cadenza.llm.near_duplicates import op1_ngram_jaccard_join
 from cadenza.llm.neighbours import op3_nearest_neighbours
 from cadenza.llm.packing import op6_harmonic_packing
 from cadenza.llm.sharding import op4_balanced_sharding
@@ -13,6 +14,7 @@ from cadenza.llm.suffix_array import op10_suffix_array_dedup
 from cadenza.llm.wavelet import op7_wavelet_token_files
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_balanced_sharding": op4_balanced_sharding,
