@@ -35,7 +35,7 @@ def segments(frames: DataFrame, spans: DataFrame, columns: list[str], key: str =
     joined = frames.select(key, order, *columns).join(spans, key).where((F.col(order) >= F.col("start")) & (F.col(order) < F.col("end")))
     rows = F.sort_array(F.collect_list(F.struct(order, *columns)))
     gathered = joined.groupBy(key, "idx", "duration").agg(rows.alias("_r"))
-    return gathered.select(key, "idx", F.col("duration").cast("int").alias("duration"), F.array(*[F.transform("_r", lambda r, c=c: r[c].cast("double")) for c in columns]).alias("seg")).where(F.size(F.col("seg")[0]) > 1)
+    return gathered.select(key, "idx", F.col("duration").cast("int").alias("duration"), F.array(*[F.col(f"_r.{c}").cast("array<double>") for c in columns]).alias("seg")).where(F.size(F.col("seg")[0]) > 1)
 
 
 def _each(frame_columns: list[str], make) -> callable:
