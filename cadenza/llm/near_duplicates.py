@@ -1,7 +1,7 @@
 """N-gram Jaccard join: texts whose sets of word 5-grams overlap by 0.8 or more, with Bayesian candidate pruning.
 
 Each different text is a node. 32 bands of 4 MinHash values propose candidates: a pair at 0.8 shares none of them with
-a probability of 5e-8. Texts are dealt into blocks by the largest band bucket they stand in, and two blocks are compared if any bucket
+a probability of 5e-8. Texts are dealt into blocks by their family's largest band bucket, and two blocks are compared if any bucket
 reaches into both, so every proposed pair meets exactly once, in one task with at most 2 * BLOCK texts, and a bucket with a third of
 all texts is many blocks. Inside, MinHash values are compared some at a time; a pair goes when the posterior probability of reaching the
 threshold falls below TOLERANCE, and what is left is verified exactly on the sets. No pair leaves its task: it returns
@@ -224,6 +224,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key_a, key_b, block): texts of one family in as few blocks of about BLOCK as can hold them.
+
+    A text's home is its largest bucket. Twice, each bucket passes on the largest home of its members and each text takes the
+    largest of its buckets', so that most of a family has one home. Homes are then cut by a hash.
+    """
+    keys = ["key_a", "key_b"]
+    home = written(members.groupBy(*keys).agg(F.max(F.struct("n", "bucket")).alias("home")))
+    for _ in range(2):
+        largest = written(members.join(home, keys).groupBy("bucket").agg(F.max("home").alias("home")))
+        home = written(members.join(largest, "bucket").groupBy(*keys).agg(F.max("home").alias("home")))
+    sizes = written(home.groupBy("home.bucket").agg(F.count(F.lit(1)).alias("size")))
+    part = F.pmod(F.xxhash64(*keys), F.ceil(F.col("size") / BLOCK))
+    return written(home.select(*keys, "home.bucket").join(sizes, "bucket").select(*keys, F.xxhash64("bucket", part).alias("block")))
+
+
 def link_texts(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(key_a, key_b, links, other_a, other_b) of distinct texts (key_a, key_b, text): links of each text by pair of blocks, and
     in rows with links 0 the edges of the forests."""
@@ -231,9 +247,7 @@ def link_texts(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     bands = written(texts.mapInArrow(_band_rows(words), "key_a long, key_b long, bucket long"))
     shared = written(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = written(bands.join(shared, "bucket"))
-    home = members.groupBy("key_a", "key_b").agg(F.max(F.struct("n", "bucket")).alias("home"))
-    part = F.pmod(F.xxhash64("key_a", "key_b"), F.ceil(F.col("home.n") / BLOCK))
-    blocks = written(home.select("key_a", "key_b", F.xxhash64("home.bucket", part).alias("block")))
+    blocks = _blocks(members)
     cells = written(members.join(blocks, ["key_a", "key_b"]).select("bucket", "block").distinct())
     one, two = cells.withColumnRenamed("block", "one"), cells.withColumnRenamed("block", "two")
     pairs = written(one.join(two, "bucket").where("one <= two").select("one", "two").distinct())
