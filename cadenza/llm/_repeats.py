@@ -6,7 +6,7 @@ occur more than once anywhere are wanted, without shuffling every window:
 1. Each window gets an anchor, the smallest hashed `gram`-unit slice inside it. It depends on the
    window's content alone, so equal windows have equal anchors. Neighbouring windows with one
    anchor form a segment; every window lies in exactly one segment.
-2. Spark counts anchors. Those seen once hold no repeat and go, which is most of the text. What is
+2. Spark counts anchors. Those of one segment that doesn't repeat itself hold no repeat and go, which is most of the text. What is
    left is counted by (anchor, hash of the segment's units).
 3. One copy of each remaining segment's units is dealt to reference shards by its anchor, so
    all places of a window meet in one shard. A kernel (a suffix automaton, or a Burrows-Wheeler
@@ -50,13 +50,22 @@ def _units(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray,
 
 
 def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow: texts to rows (key_a, key_b, start, n, anchor, seg, copies); n counts windows."""
+    """mapInArrow: texts to rows (key_a, key_b, start, n, anchor, seg, copies, own); n counts windows.
+
+    own is 1 if two windows of the segment may be equal. Then the first slice with the anchor's hash lies in front of the later
+    window, and the window behind that slice holds the hash again.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 _, at, rolling, _ = _units(batch, words)
-                smallest = T.sliding_min(rolling.windows(gram), size - gram + 1)
+                slices = rolling.windows(gram)
+                smallest = T.sliding_min(slices, size - gram + 1)
+                again = np.zeros(len(smallest) + 1, np.int64)
+                if len(smallest) > 1:
+                    np.cumsum((slices[: len(smallest) - 1] == smallest[:-1]) & (smallest[1:] == smallest[:-1]), out=again[1:-1])
+                    again[-1] = again[-2]
                 lengths = np.maximum(0, np.diff(at) - size + 1)
                 index = T.ranges(at[:-1], lengths)
                 if not len(index):
@@ -72,8 +81,8 @@ def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordB
                 text = np.repeat(np.arange(batch.num_rows), lengths)[first]
                 pick = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(text))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pick("key_a"), pick("key_b"), pa.array((begin - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), _long(rolling.of(begin, begin + n + size - 1)), pick("copies")],
-                    names=["key_a", "key_b", "start", "n", "anchor", "seg", "copies"],
+                    [pick("key_a"), pick("key_b"), pa.array((begin - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), _long(rolling.of(begin, begin + n + size - 1)), pick("copies"), pa.array((again[begin + n] > again[begin]).astype(np.int64))],
+                    names=["key_a", "key_b", "start", "n", "anchor", "seg", "copies", "own"],
                 )
 
     return run
@@ -217,16 +226,16 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     texts: (key_a, key_b, text, copies), one row for each different text. kernel_on_copies: whether segments that have exact
     copies and no other neighbour go through the kernel as well; else equality settles them.
     """
-    places = texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long")
+    places = texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long, own long")
     place = F.xxhash64("key_a", "key_b", "start")
-    repeated = written(places.groupBy("anchor").agg(F.sum("copies").alias("uses")).where("uses > 1").select("anchor"))
+    repeated = written(places.groupBy("anchor").agg(F.sum(F.col("copies") + F.col("own")).alias("uses")).where("uses > 1").select("anchor"))
     candidates = written(places.join(repeated, "anchor"))
     kinds = candidates.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(place).alias("first"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     salted = anchors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     wanted = written(kinds.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
-    flagged = written(candidates.drop("copies").join(wanted, ["anchor", "seg"]))
-    alone = F.lit(False) if kernel_on_copies else F.col("kinds") == 1
+    flagged = written(candidates.drop("copies", "own").join(wanted, ["anchor", "seg"]))
+    alone = F.lit(False) if kernel_on_copies else (F.col("kinds") == 1) & (F.col("weight") > 1)
     whole = flagged.where(alone).select("key_a", "key_b", "start", F.col("n").alias("length"))
     rest = flagged.where(~alone)
     asked = (

@@ -29,6 +29,7 @@ def made_texts(seed, alphabet="abé \n"):
     texts = [word(r.randint(0, 120)) for _ in range(15)]
     texts += [word(r.randint(0, 40)) + passage[r.randint(0, 12) :] + word(r.randint(0, 40)) for _ in range(12)]
     texts += [base] * 3 + [base[:75] + "XX" + base[75:], "ab" * 90, "a" * 130, "", None]
+    texts += ["é x" + unit * k + "y" for unit, k in (("qrs", 13), ("b\n", 17), ("xyzw ", 8), ("mn o ", 9), ("u", 33), ("stuvw", 7))]
     return texts
 
 
