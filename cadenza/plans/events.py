@@ -64,11 +64,11 @@ def beat_intervals(spark, d):
     return _spans(spark, d).select("traj", "idx", "start", "end", "duration")
 
 
-@QUERIES.add(EV + _MAXIMA + """ SELECT sp.traj, idx, start, stop AS "end", count(*) AS n, round(avg(x), 6) + 0.0 AS mean_x, round(arg_max(x, beat) - arg_min(x, beat), 6) + 0.0 AS delta_x
+@QUERIES.add(EV + _MAXIMA + """ SELECT sp.traj, idx, start, stop AS "end", count(*) AS n, round(avg(x), 9) + 0.0 AS mean_x, round(arg_max(x, beat) - arg_min(x, beat), 9) + 0.0 AS delta_x
   FROM sp JOIN ev ON ev.traj = sp.traj AND beat >= start AND beat < stop WHERE stop IS NOT NULL GROUP BY sp.traj, idx, start, stop""")
 def interval_features(spark, d):
     joined = S.in_intervals(beats(spark, d), _spans(spark, d), "traj", "beat")
-    return S.interval_features(joined, "traj", "beat", ["x"]).select("traj", "idx", "start", "end", "n", r("mean_x").alias("mean_x"), r("delta_x").alias("delta_x"))
+    return S.interval_features(joined, "traj", "beat", ["x"]).select("traj", "idx", "start", "end", "n", r("mean_x", 9).alias("mean_x"), r("delta_x", 9).alias("delta_x"))
 
 
 @QUERIES.add(EV + _MAXIMA + """ SELECT traj, count(*) AS n, min(d) AS least, max(d) AS most, round(avg(d), 6) AS mean, round(median(d), 6) AS median,
@@ -85,14 +85,14 @@ def centre_times(spark, d):
     return S.centre_times(_spans(spark, d), "traj", "start", "duration", 16000.0).select("traj", "idx", r("centre_ms").alias("centre_ms"))
 
 
-@QUERIES.add(EV + " SELECT * FROM (SELECT traj, beat, round(x, 6) + 0.0 AS x, round(lead(x) OVER w, 6) + 0.0 AS next_x, round(lead(x) OVER w - x, 6) + 0.0 AS step_x FROM ev WINDOW w AS (PARTITION BY traj ORDER BY beat)) WHERE next_x IS NOT NULL")
+@QUERIES.add(EV + " SELECT * FROM (SELECT traj, beat, round(x, 9) + 0.0 AS x, round(lead(x) OVER w, 9) + 0.0 AS next_x, round(lead(x) OVER w - x, 9) + 0.0 AS step_x FROM ev WINDOW w AS (PARTITION BY traj ORDER BY beat)) WHERE next_x IS NOT NULL")
 def next_steps(spark, d):
-    return S.next_values(beats(spark, d), "traj", "beat", ["x"]).select("traj", "beat", r("x").alias("x"), r("next_x").alias("next_x"), r("step_x").alias("step_x"))
+    return S.next_values(beats(spark, d), "traj", "beat", ["x"]).select("traj", "beat", r("x", 9).alias("x"), r("next_x", 9).alias("next_x"), r("step_x", 9).alias("step_x"))
 
 
-@QUERIES.add(EV + " SELECT traj, beat, round(coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w), 6) + 0.0 AS gradient FROM ev WINDOW w AS (PARTITION BY traj ORDER BY beat)")
+@QUERIES.add(EV + " SELECT traj, beat, round(coalesce((lead(x) OVER w - lag(x) OVER w) / 2, lead(x) OVER w - x, x - lag(x) OVER w), 9) + 0.0 AS gradient FROM ev WINDOW w AS (PARTITION BY traj ORDER BY beat)")
 def central_difference(spark, d):
-    return S.central_difference(beats(spark, d), "traj", "beat", "x").select("traj", "beat", r("gradient").alias("gradient"))
+    return S.central_difference(beats(spark, d), "traj", "beat", "x").select("traj", "beat", r("gradient", 9).alias("gradient"))
 
 
 _HALF, _N, _S2, _S4 = 3, 7, 28, 196
