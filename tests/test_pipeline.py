@@ -178,3 +178,21 @@ def test_gap_policies(spark):
     assert n("drop") == [(0, i) for i in range(7)] + [(1, i) for i in range(4)]
     with pytest.raises(ValueError):
         n("other")
+
+
+def test_quality(spark, raw):
+    from cadenza.plans import quality as C
+
+    frames = S.valid_span(raw, "trajectory_id", "frame", B.WINGS)
+    rows = C.screen(frames).toPandas()
+    assert len(rows) == 4 and (rows["n_beats"] == rows["n_peaks"] - 1).all() and rows["mean_beat"].between(60, 80).all() and set(rows["class"]) == {"low"}
+    summary = C.frequencies(raw).first()
+    assert 60 < summary.mean < 80 and abs(summary.hz_mean - 16000 / summary.mean) < 1e-9
+    gathered = B.segments(frames, S.intervals(B.boundaries(frames), "trajectory_id", "at"), B.WINGS)
+    values = C.beat_values(gathered).persist()
+    tests, verdict = C.compare(values, values)
+    assert {r.d for r in tests.collect()} == {0.0} and verdict.first().verdict == "COMPATIBLE"
+    shifted = values.withColumn("value", F.when(F.col("metric") == "duration", F.col("value") + 100).otherwise(F.col("value")))
+    tests, verdict = C.compare(values, shifted)
+    assert verdict.first().asDict() == {"verdict": "INCOMPATIBLE", "drivers": "duration"}
+    assert {r.metric: r.p < 1e-6 for r in tests.collect()}["duration"]
