@@ -89,8 +89,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most about `most` bytes of text (one longer text stands alone)."""
+#: Stores of a worker process that one kind of work needs; other work empties them, as workers outlive a stage.
+stores: list[dict] = []
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most about `most` bytes of text (one longer text stands alone). keep: leave the stores."""
+    if not keep:
+        for store in stores:
+            store.clear()
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows
     while at < n:

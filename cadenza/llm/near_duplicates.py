@@ -26,7 +26,7 @@ BANDS, ROWS = 32, 4
 STEP = 16  # MinHash values that are compared between two looks at the posterior
 TOLERANCE = 1e-6
 BLOCK = 256
-_DENSE = 1 << 24  # cells of a membership matrix
+_DENSE = 1 << 23  # cells of a membership matrix
 
 _FACTORS = (np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SHIFTS = np.random.default_rng(21).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)

@@ -46,7 +46,7 @@ def _pieces(keep: list[str], capacity: int, slack: float, end: int, vocabulary:
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for whole in batches:
-            for batch in T.slices(whole, "text", 16 << 20):
+            for batch in T.slices(whole, "text", 10 << 20, keep=True):
                 ids, offsets = tokens.with_end(*coder.encode(batch.column(batch.schema.get_field_index("text"))), end)
                 raw = memoryview(np.ascontiguousarray(ids, np.dtype("<u4"))).cast("B")
                 row, start, length, crc, kind, rank, at = [], [], [], [], [], [], []

@@ -15,10 +15,11 @@ from cadenza.llm import _text as T
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 _TAIL = r"^(?P<head>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 _encoders: dict[str, WordEncoder] = {}
+T.stores.append(_encoders)
 
 
 class WordEncoder:
