@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,24 +167,29 @@ def _shards(size: int, words: bool, kernel: Kernel):
         take = pa.array(segment)
         return pa.RecordBatch.from_arrays([table["anchor"].take(take).combine_chunks(), table["seg"].take(take).combine_chunks(), pa.array(begin.astype(np.int32)), pa.array(length.astype(np.int32))], names=["anchor", "seg", "begin", "length"])
 
+    def solved(table: pa.Table, anchors: np.ndarray):
+        """Shards of about SHARD_BYTES; an anchor's segments stay together."""
+        sizes = np.cumsum(pc.binary_length(table["units"]).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(anchors):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SHARD_BYTES)))
+            to = int(np.searchsorted(anchors, anchors[min(to, len(anchors)) - 1], side="right"))
+            yield solve(table.slice(at, to - at))
+            at = to
+
     def run(batches):
         held: list[pa.RecordBatch] = []
-        heavy = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            heavy += batch.column(batch.schema.get_field_index("units")).nbytes
-            if heavy < SHARD_BYTES:
-                continue
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches([*held, batch])
             anchors = table["anchor"].to_numpy()
             cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
-            if cut:
-                yield solve(table.slice(0, cut))
-                held, heavy = table.slice(cut).to_batches(), 0
+            yield from solved(table.slice(0, cut), anchors[:cut])
+            held = table.slice(cut).to_batches()
         if held:
-            yield solve(pa.Table.from_batches(held))
+            table = pa.Table.from_batches(held)
+            yield from solved(table, table["anchor"].to_numpy())
 
     return run
 
