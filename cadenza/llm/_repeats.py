@@ -187,6 +187,7 @@ def _shards(size: int, words: bool, kernel: Kernel):
             cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
             yield from solved(table.slice(0, cut), anchors[:cut])
             held = table.slice(cut).to_batches()
+            T.give_back()
         if held:
             table = pa.Table.from_batches(held)
             yield from solved(table, table["anchor"].to_numpy())

@@ -5,6 +5,7 @@ Everything here works on one Arrow batch at a time, inside a Spark task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: Stores of a worker process that one kind of work needs; other work empties them, as workers outlive a stage.
 stores: list[dict] = []
 
@@ -104,6 +114,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, keep: bool =
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -197,6 +197,7 @@ def _compare_all(threshold: float):
                 if found is not None:
                     yield found
             held = table.slice(edges[-2]).to_batches()
+            T.give_back()
         if held:
             found = _compare(pa.Table.from_batches(held), threshold, rules)
             if found is not None:
