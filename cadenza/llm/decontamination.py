@@ -155,16 +155,10 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     return docs.select("doc_id", *text_key()).join(by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
 
 
-def _clean_rows(index: Index, batch: pa.RecordBatch):
-    place = batch.schema.get_field_index("text")
-    texts = batch.column(place)
-    data, offsets = T.buffers(texts)
-    starts, ends, first, hit, items = find(index, data, offsets)
-    if not items:
-        yield batch
-        return
+def _cut(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hit: np.ndarray, which) -> pa.Array:
+    """The texts, those of the numbers `which` without their runs of hit words."""
     kept = texts.to_pylist()
-    for i in items:
+    for i in which:
         gone = np.zeros(offsets[i + 1] - offsets[i], bool)
         own = hit[first[i] : first[i + 1]]
         begin = np.flatnonzero(own & ~np.concatenate([[False], own[:-1]])) + first[i]
@@ -172,25 +166,71 @@ def _clean_rows(index: Index, batch: pa.RecordBatch):
         for a, b in zip(starts[begin] - offsets[i], ends[stop] - offsets[i], strict=True):
             gone[a:b] = True
         kept[i] = data[offsets[i] : offsets[i + 1]][~gone].tobytes().decode("utf-8", "replace")
-    yield batch.set_column(place, batch.schema.field(place), pa.array(kept, texts.type))
+    return pa.array(kept, texts.type)
+
+
+def _clean_rows(index: Index, batch: pa.RecordBatch):
+    place = batch.schema.get_field_index("text")
+    texts = batch.column(place)
+    data, offsets = T.buffers(texts)
+    starts, ends, first, hit, items = find(index, data, offsets)
+    if not items:
+        yield batch
+        return
+    yield batch.set_column(place, batch.schema.field(place), _cut(texts, data, offsets, starts, ends, first, hit, items))
+
+
+def _cut_known(text: str, drop_over: float):
+    """mapInArrow: the batch without its last column, the numbers of each text's hit words (null: none), which are cut out."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in T.slices(whole, text):
+                words = batch.column(batch.num_columns - 1)
+                batch = batch.select(batch.schema.names[:-1])
+                which = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                if not which:
+                    yield batch
+                    continue
+                place = batch.schema.get_field_index(text)
+                texts = batch.column(place)
+                data, offsets = T.buffers(texts)
+                starts, ends, first = T.words(data, offsets, T.WORD_ALNUM)
+                hit = np.zeros(len(starts), bool)
+                for i in which:
+                    hit[first[i] + np.array(words[i].as_py(), np.int64)] = True
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
+                batch = batch.set_column(place, batch.schema.field(place), _cut(texts, data, offsets, starts, ends, first, hit, which))
+                yield batch.filter(pa.array(n_hit <= np.diff(first) * drop_over))
+
+    return run
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_over: float = 1.1) -> DataFrame:
     """docs with the spans of hit words cut out of `text` and n_chars anew; documents of which more than the share `drop_over`
     of the words was hit go (by default none does).
 
-    A benchmark beyond PART_BYTES is cut out part by part; each scan sees the words that the ones before have left, so a
-    document in which two parts' windows overlap keeps the words that only a cut window holds.
+    A benchmark beyond PART_BYTES is scanned for part by part, each time in the texts as they came; a text is judged and cut once,
+    by the hit words of all parts.
     """
-    out = docs
-    for part in _parts(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(part(), window))
+    parts = _parts(benchmark)
+    if len(parts) == 1:
+        out = docs
+        index = docs.sparkSession.sparkContext.broadcast(Index(parts[0](), window))
         if drop_over <= 1:
             keyed = out.withColumn("_row", F.struct(*out.columns)).select("_row", F.coalesce("text", F.lit("")).alias("text"))
             kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:1])
             judged = keyed.mapInArrow(_scan(index, _digest_rows(["_row"])), f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
             out = judged.where(F.col("n_hit") <= F.col("n_words") * drop_over).select("_row.*")
         out = out.mapInArrow(_scan(index, _clean_rows), out.schema)
+    else:
+        names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+        # written, so that both sides of the join come straight from a shuffle and Spark can split a text with many copies
+        hits = written(_in_parts(written(distinct_texts(docs).drop("copies")), parts, window).select("key_a", "key_b", "words"))
+        plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        joined = plain.withColumns(dict(zip(("key_a", "key_b"), text_key(names["text"]), strict=True))).join(hits, ["key_a", "key_b"], "left")
+        cut = joined.select(*names.values(), "words").mapInArrow(_cut_known(names["text"], drop_over), plain.schema)
+        out = cut.select(*[F.col(n).alias(c) for c, n in names.items()])
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

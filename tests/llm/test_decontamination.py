@@ -67,3 +67,25 @@ def test_empty(spark):
     assert d.digests(docs, items).count() == 0
     some = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert not any(r.contaminated for r in d.digests(some, items).collect())
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
+def test_parts_cut_like_one(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(d, "PART_BYTES", part_bytes)
+    span = lambda c, a, b: " ".join(f"{c}{i:03}" for i in range(a, b))
+    items, texts, want = [], [], []
+    for k in range(8):
+        c = f"k{k}"
+        # windows of two items that overlap in a text, and words that only a cut brings together
+        items += [(4 * k, span(c, 0, 10)), (4 * k + 1, span(c, 5, 15)), (4 * k + 2, span(c, 20, 30)), (4 * k + 3, span(c, 40, 50))]
+        texts += [f"so {span(c, 0, 15)} it goes", f"{span(c, 20, 25)} {span(c, 40, 50)} {span(c, 25, 30)}"]
+        want += ["so  it goes", f"{span(c, 20, 25)}  {span(c, 25, 30)}"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate([*texts, None, "clean", *texts])], "doc_id long, text string, n_chars long, words string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    out = d.without_benchmark(docs, benchmark)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and len(rows) == len(texts) * 2 + 2
+    assert [rows[i].text for i in range(len(rows))] == [*want, None, "clean", *want]
+    assert all(r.words == "x" and r.text is None or r.n_chars == len(r.text) for r in rows.values())
+    # 15 of 18 and 10 of 20 words are hit
+    assert {r.doc_id for r in d.without_benchmark(docs, benchmark, drop_over=0.6).collect()} == {i for i in rows if i in (16, 17) or (i if i < 16 else i - 18) % 2}
