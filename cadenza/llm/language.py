@@ -13,8 +13,6 @@ from cadenza.llm import _text as T
 from cadenza.llm._io import table
 
 ORDER = 3
-#: Bytes of text that a language's statistics are learned from, about; the bound of the labelled sample.
-SAMPLE_BYTES = 2 << 20
 #: A context of full length stands in the trees from this many occurrences on; rarer ones use the shorter context.
 LEAST = 24
 UNKNOWN = "und"
@@ -89,9 +87,10 @@ def build(rows: list[tuple[str, int, int]], least: int = LEAST) -> Model:
     """The frozen trees from (language, gram, count) rows."""
     languages = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(languages)}
-    lang = np.array([number[r[0]] for r in rows], np.int64)
-    gram = np.array([r[1] for r in rows], np.int64)
-    n = np.array([r[2] for r in rows], np.int64)
+    return _trees(languages, np.array([number[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), least)
+
+
+def _trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int) -> Model:
     seen = np.unique(gram & 0xFF)
     codes = np.zeros(256, np.int64)
     codes[seen] = np.arange(1, len(seen) + 1)
@@ -131,21 +130,21 @@ def build(rows: list[tuple[str, int, int]], least: int = LEAST) -> Model:
     return Model(languages, codes.astype(np.uint8), states, bits.reshape(-1, len(languages)))
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, least: int = LEAST) -> Model | None:
-    """Learns from text and lang of the documents that aren't held out; None if there are none.
+def train(docs: DataFrame, least: int = LEAST) -> Model | None:
+    """Learns from text and lang of all documents that aren't held out; None if there are none.
 
-    Each language gives about sample_bytes of its texts, picked by a hash of the text, so what reaches the driver is bounded by
-    the sample and the number of languages. Grams are counted on the executors.
+    Grams are counted on the executors and merge in the map tasks. What reaches the driver is a count for each language and gram
+    of four bytes, as arrays.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    if not sizes:
+    counts = usable.mapInArrow(_contexts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not counts.num_rows:
         return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / r["bytes"]))])
-    picked = usable.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    counts = picked.mapInArrow(_contexts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = [(r["lang"], r["gram"], r["n"]) for r in counts.toLocalIterator()]
-    return build(rows, least) if rows else None
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    languages = sorted(names)
+    number = np.array([languages.index(x) for x in names], np.int64)
+    return _trees(languages, number[coded.indices.to_numpy()], counts.column("gram").to_numpy(), counts.column("n").to_numpy(), least)
 
 
 def score(model: Model, texts: pa.Array) -> np.ndarray:

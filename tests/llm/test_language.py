@@ -4,6 +4,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 from cadenza.llm import language as L
+from pyspark.sql.functions import col as spark_col
 
 
 def brute_bits(texts, text, least):
@@ -96,3 +97,23 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 7, None}
     assert L.identify(docs.where("false")).count() == 0
     assert {r.lang_pred for r in L.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang is null")).collect()} == {"und"}
+
+
+def test_all_labelled_text_counts(spark):
+    # languages of one long text, each many times: 7 MB or so a language that aren't held out
+    r = np.random.default_rng(3)
+    texts = {f"l{k}": " ".join("".join(chr(97 + (k + x) % 26) for x in w) for w in r.integers(0, 9, (14000, 6))) for k in range(6)}
+    once = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    docs = spark.range(600).withColumnRenamed("id", "doc_id").join(once, (spark_col("doc_id") % 6).cast("string") == once.lang.substr(2, 1))
+    labelled = {x: 0 for x in texts}
+    for i in range(600):
+        labelled[f"l{i % 6}"] += zlib.crc32(str(i).encode()) % 4 != 2
+    rows = []
+    for lang, text in texts.items():
+        data = text.encode()
+        grams, n = np.unique(L._grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], return_counts=True)
+        rows += [(lang, g, k * labelled[lang]) for g, k in zip(grams.tolist(), n.tolist(), strict=True)]
+    model, want = L.train(docs), L.build(rows)
+    assert model.languages == want.languages == list(texts)
+    assert (model.codes == want.codes).all() and (model.states == want.states).all() and (model.bits == want.bits).all()
+    assert [(x.lang, x.lang_pred) for x in L.predict(once, model, ["lang"]).orderBy("lang").collect()] == [(x, x) for x in texts]
