@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int, ident: str = "id", vector: str = "v") -> DataFrame:
+def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int, ident: str = "id", vector: str = "v", apart: str | None = None) -> DataFrame:
     """(query, rank, neighbour, d2) of the k nearest rows, the query itself included if it is one, ties to the smaller id.
 
+    apart: a column; only rows with another value of it than the query's count, so `ident` leaves out the query itself and a
+    group's column its whole group. As with <>, a null has no others and is no other.
+
     A stated query set is held against all rows in blocks: each pair of a query block and a row block is one matrix product
     in one task and returns k rows a query, so neither side is collected and no pair becomes a row.
     """
-    queries = queries.select(F.col(ident).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    rows = rows.select(F.col(ident).cast("long").alias("neighbour"), F.col(vector).cast("array<double>").alias("r"))
+    own, other = ([], []) if apart is None else ([F.col(apart).alias("qa")], [F.col(apart).alias("ra")])
+    queries = queries.select(F.col(ident).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q"), *own)
+    rows = rows.select(F.col(ident).cast("long").alias("neighbour"), F.col(vector).cast("array<double>").alias("r"), *other)
+    if apart is not None:
+        queries, rows = queries.where("qa is not null"), rows.where("ra is not null")
     parts = [max(1, -(-df.count() // BLOCK)) for df in (queries, rows)]
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(parts[0])).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(parts[1] - 1))))
     right = rows.withColumn("rb", F.pmod(F.xxhash64("neighbour"), F.lit(parts[1])).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts[0] - 1))))
@@ -31,9 +37,15 @@ def exact_neighbours(queries: DataFrame, rows: DataFrame, k: int, ident: str = "
         b = b.sort_values("neighbour", kind="stable")
         x, y = np.stack(a["q"].to_numpy()), np.stack(b["r"].to_numpy())
         d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
+        group = np.zeros(0, np.int64) if apart is None else pd.factorize(pd.concat([a["qa"], b["ra"]]))[0]
+        if len(group):
+            d2[group[: len(x), None] == group[len(x) :]] = np.inf
         # candidates by the product form, with room for its rounding; then the differences themselves
         kth = np.partition(d2, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
         at, to = np.nonzero(d2 <= kth[:, None] + 1e-9 * (1 + (x * x).sum(1) + (y * y).sum(1).max())[:, None])
+        if len(group):
+            others = group[at] != group[len(x) + to]
+            at, to = at[others], to[others]
         exact = ((x[at] - y[to]) ** 2).sum(axis=1)
         order = np.lexsort((to, exact, at))
         at, to, exact = at[order], to[order], exact[order]

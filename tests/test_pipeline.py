@@ -196,3 +196,28 @@ def test_quality(spark, raw):
     tests, verdict = C.compare(values, shifted)
     assert verdict.first().asDict() == {"verdict": "INCOMPATIBLE", "drivers": "duration"}
     assert {r.metric: r.p < 1e-6 for r in tests.collect()}["duration"]
+
+
+def test_nearest_of_all_others(spark, tmp_path, monkeypatch):
+    from cadenza.plans import catalog
+
+    monkeypatch.setattr(V, "BLOCK", 17)
+    r = np.random.default_rng(4)
+    # twelve vectors a label close together, the first label's all alike: the eight nearest are all of the own label
+    label = np.repeat(np.arange(4), 12)
+    x = r.normal(size=(4, 1, 64)) * 5 + r.normal(size=(4, 12, 64)) * 0.1
+    x[0] = x[0, 0]
+    x = x.reshape(48, 64)
+    rows = [(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))]
+    rows.append((52, None, x[0].tolist()))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d2 = np.where(label[:, None] == label, np.inf, ((x[:, None] - x) ** 2).sum(axis=2))
+    found = catalog.QUERIES["nearest_of_other_group"](spark, str(tmp_path)).collect()
+    assert {q.query: q.neighbour for q in found} == {q: int(d2[q].argmin()) for q in range(0, 48, 4)} and len(found) == 12
+    y = r.normal(size=48)
+    v = spark.createDataFrame([(i, k, v, float(z)) for (i, k, v), z in zip(rows, y, strict=False)], "id long, label int, v array<double>, y double")
+    got = V.ceiling(V.exact_neighbours(v, v, 1, apart="label"), v).first()
+    assert got.n == 48 and np.isclose(got.ceiling, 1 - 0.5 * ((y - y[d2.argmin(axis=1)]) ** 2).mean() / y.var())
+    pairs = spark.createDataFrame([(i, [float(i // 2)]) for i in range(6)], "id long, v array<double>")
+    assert {(q.query, q.neighbour) for q in V.exact_neighbours(pairs, pairs, 1, apart="id").collect()} == {(i, i ^ 1) for i in range(6)}
+    assert V.exact_neighbours(v.where("label = 1"), v.where("label = 1"), 3, apart="label").count() == 0
