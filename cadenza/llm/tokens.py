@@ -16,7 +16,10 @@ from cadenza.llm import _text as T
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 KNOWN_WORDS = 400_000
-_TAIL = r"^(?P<head>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+#: Letters that stay letters when they are normalised (NFC) and lower-cased. İ gets a combining dot, and letters of other scripts
+#: can fall apart under NFC; a mark would join the punctuation behind it, so words with such letters are coded whole.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ƿǍ-ʯΆΈ-ΊΌΎ-ΡΣ-ώА-яЀ-ҁҊ-ԯ"
+_TAIL = rf"^(?P<head>[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]+)$"
 
 _encoders: dict[str, WordEncoder] = {}
 T.stores.append(_encoders)

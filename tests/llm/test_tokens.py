@@ -32,6 +32,24 @@ def test_words_as_the_library(library):
             assert [*ids[offsets[i] : offsets[i + 1]].tolist(), 2] == coded(library, text), text
 
 
+def test_every_letter_before_punctuation(library):
+    """A letter alone and behind another one, before each kind of ASCII mark, as the library codes it."""
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.category(c) != "Lo" or c in "\u0958\u09dc\u0a33\u0f43\ufb1d\ufb4e漢가"]
+    marks = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()]
+    words = [f"{c}{marks[i % len(marks)]}" for i, c in enumerate(letters)] + [f"x{c}{marks[i % len(marks)]}{marks[i % 7]}" for i, c in enumerate(letters)]
+    words += [f"{c}{m}" for c in "İaßŁΣ\u0958\ufb1d" for m in marks]
+    words += [f"{chr(c)}." for a, b in ((0x900, 0xE00), (0xF00, 0xFC0), (0xFB00, 0xFB50)) for c in range(a, b) if unicodedata.category(chr(c))[0] == "L"]
+    ids, offsets = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(words))
+    want = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    wrong = [w for i, w in enumerate(words) if ids[offsets[i] : offsets[i + 1]].tolist() != want[i]]
+    assert not wrong, wrong[:20]
+
+
 def test_real_texts(library, spark, small):
     import pyarrow as pa
 
