@@ -14,6 +14,8 @@ from cadenza.llm._io import bucketed, distinct_texts, table, text_key
 from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 400
+#: Bytes that every passage of over 50 words reaches: prose takes four and more a word, with its space.
+PASSAGE = 200
 GRAM = 64
 END = 0xFF  # ends a segment; never part of UTF-8
 
@@ -138,7 +140,7 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray,
 
 def repeated_byte_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
     """(key_a, key_b, spans) of distinct texts: runs of starts, in bytes, of strings of `size` bytes that occur twice."""
-    return repeated_spans(texts, repeated_windows, size=size, gram=min(GRAM, size), words=False)
+    return repeated_spans(texts, repeated_windows, size=size, gram=min(GRAM, max(1, size // 4)), words=False)
 
 
 def removed_bytes(spans: pa.StructArray, size: int, total: int) -> np.ndarray:

@@ -24,8 +24,8 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur twice."""
-    return suffix_array.without_repeats(docs)
+    """Texts without strings of 200 bytes that occur twice, which every passage of over 50 words reaches."""
+    return suffix_array.without_repeats(docs, suffix_array.PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

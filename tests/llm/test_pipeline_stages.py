@@ -32,7 +32,7 @@ def one_of_each(before):
     return [(i, t) for i, t in before if i in keep]
 
 
-def without_long_repeats(before, size=400):
+def without_long_repeats(before, size=200):
     texts = [t.encode() for _, t in before]
     seen = Counter(hash(t[i : i + size]) for t in texts for i in range(len(t) - size + 1))
     out = []
