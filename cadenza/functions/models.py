@@ -56,42 +56,62 @@ class Regressor:
         out = self._forward(np.asarray(x, float))[-1]
         return out[:, :-1], np.maximum(np.rint(np.exp(out[:, -1] * self.duration_sd + self.duration_mean)), 2).astype(int)
 
-    def fit(self, x: np.ndarray, latents: np.ndarray, durations: np.ndarray, epochs: int = 100, rate: float = 1e-3, batch: int = 32, seed: int = 0, duration_weight: float = 1.0) -> list[float]:
-        """Adam on the mean squared latent error plus the weighted one of log durations; the rows' mean loss of every epoch."""
+    def begin(self, inputs: int, latents: int, duration_mean: float, duration_sd: float, seed: int = 0) -> None:
+        """Fresh weights, from a seed."""
         random = np.random.default_rng(seed)
-        logs = np.log(durations)
-        self.duration_mean, sd = float(logs.mean()), float(logs.std())
-        self.duration_sd = sd if sd > 1e-8 else 1.0
-        y = np.concatenate([latents, ((logs - self.duration_mean) / self.duration_sd)[:, None]], axis=1)
-        scale = np.concatenate([np.full(latents.shape[1], 1 / latents.shape[1]), [duration_weight]])
-        sizes = [x.shape[1], *self.hidden, y.shape[1]]
+        self.duration_mean, self.duration_sd = duration_mean, duration_sd if duration_sd > 1e-8 else 1.0
+        sizes = [inputs, *self.hidden, latents + 1]
         self.weights = [random.normal(size=(a, b)) * (2 / a) ** 0.5 for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
         self.biases = [np.zeros(b) for b in sizes[1:]]
-        parameters = self.weights + self.biases
-        first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+
+    def targets(self, latents: np.ndarray, durations: np.ndarray) -> np.ndarray:
+        return np.concatenate([latents, ((np.log(durations) - self.duration_mean) / self.duration_sd)[:, None]], axis=1)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, duration_weight: float = 1.0) -> tuple[float, list[np.ndarray]]:
+        """(loss, gradients of weights then biases), summed over the rows; the loss is the mean squared latent error plus the weighted
+        one of the log duration."""
         act, slope = _ACTIVATIONS[self.activation]
-        losses, t = [], 0
+        scale = np.concatenate([np.full(y.shape[1] - 1, 1 / (y.shape[1] - 1)), [duration_weight]])
+        outs = self._forward(x)
+        error = outs[-1] - y
+        grad = 2 * error * scale
+        gw, gb = [None] * len(self.weights), [None] * len(self.weights)
+        for i in range(len(self.weights) - 1, -1, -1):
+            below = outs[i] if i == 0 else act(outs[i])
+            gw[i], gb[i] = below.T @ grad, grad.sum(axis=0)
+            if i:
+                grad = (grad @ self.weights[i].T) * slope(outs[i])
+        return float((error**2 * scale).sum()), gw + gb
+
+    def fit(self, x: np.ndarray, latents: np.ndarray, durations: np.ndarray, epochs: int = 100, rate: float = 1e-3, batch: int = 32, seed: int = 0, duration_weight: float = 1.0) -> list[float]:
+        """Adam in small batches on rows at hand; the rows' mean loss of every epoch."""
+        logs = np.log(durations)
+        self.begin(x.shape[1], latents.shape[1], float(logs.mean()), float(logs.std()), seed)
+        y, step, random, losses = self.targets(latents, durations), Adam(self, rate), np.random.default_rng(seed + 1), []
         for _ in range(epochs):
             total = 0.0
             order = random.permutation(len(x))
             for a in range(0, len(x), batch):
                 rows = order[a : a + batch]
-                outs = self._forward(x[rows])
-                error = outs[-1] - y[rows]
-                total += float((error**2 * scale).sum())
-                grad = 2 * error * scale / len(rows)
-                gw, gb = [None] * len(self.weights), [None] * len(self.weights)
-                for i in range(len(self.weights) - 1, -1, -1):
-                    below = outs[i] if i == 0 else act(outs[i])
-                    gw[i], gb[i] = below.T @ grad, grad.sum(axis=0)
-                    if i:
-                        grad = (grad @ self.weights[i].T) * slope(outs[i])
-                t += 1
-                for p, g, m, v in zip(parameters, gw + gb, first, second, strict=True):
-                    m *= 0.9
-                    m += 0.1 * g
-                    v *= 0.999
-                    v += 0.001 * g * g
-                    p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                loss, grads = self.gradient(x[rows], y[rows], duration_weight)
+                total += loss
+                step([g / len(rows) for g in grads])
             losses.append(total / len(x))
         return losses
+
+
+class Adam:
+    """Adam's state for the parameters of a Regressor."""
+
+    def __init__(self, model: Regressor, rate: float):
+        self.parameters, self.rate, self.t = model.weights + model.biases, rate, 0
+        self.first, self.second = [np.zeros_like(p) for p in self.parameters], [np.zeros_like(p) for p in self.parameters]
+
+    def __call__(self, gradients: list[np.ndarray]) -> None:
+        self.t += 1
+        for p, g, m, v in zip(self.parameters, gradients, self.first, self.second, strict=True):
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            v += 0.001 * g * g
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import pi
 
@@ -86,3 +87,41 @@ def dataset_name(representation: str, length: int, latent: int | None = None) ->
     """Table name of a fixed-length dataset, or with `latent` of a regressor dataset."""
     tag = "" if representation == "sa" else f"_{representation}"
     return f"regressor_d{latent}_l{length}{tag}" if latent is not None else f"beats_l{length}{tag}"
+
+
+@dataclass(frozen=True)
+class Target:
+    """A quantity that a beat's shape is related to: its label and its column, from this beat's and the next one's body channels."""
+
+    label: str
+    column: Callable[[str], Column]
+
+
+TARGETS = {
+    "accel": Target("acceleration of this beat", lambda axis: F.col(f"alpha_{axis}")),
+    "dvel_next": Target("change of velocity to the next beat", lambda axis: F.col(f"next_w_{axis}") - F.col(f"w_{axis}")),
+    "dvel_within": Target("change of velocity within the beat", lambda axis: F.col(f"w_{axis}_last") - F.col(f"w_{axis}_first")),
+}
+
+
+def target(name: str, axis: str) -> Column:
+    if name not in TARGETS:
+        raise KeyError(f"no target {name}: {sorted(TARGETS)}")
+    return TARGETS[name].column(axis).cast("double")
+
+
+def colour_columns(size: int) -> list[str]:
+    """Names of a beat's body response, one a channel: by axis if there are three."""
+    return [f"{a}_accel" for a in ("yaw", "pitch", "roll")] if size == 3 else [f"F{i}_accel" for i in range(size)]
+
+
+def coloured(df, response: str, size: int):
+    """df with a column for each channel of the response array."""
+    return df.withColumns({name: F.col(response)[i] for i, name in enumerate(colour_columns(size))})
+
+
+def checked_channels(base: int, groups: int = 8) -> int:
+    """A layer width that its halves and quarters can be normalised in groups by: a positive multiple of four times the groups."""
+    if base <= 0 or base % (4 * groups):
+        raise ValueError(f"{base} is no positive multiple of {4 * groups}")
+    return base

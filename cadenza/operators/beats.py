@@ -121,3 +121,20 @@ def kinematics(frames: DataFrame, rate: float = 16000.0, window: int = 351, orde
         return group.assign(**dict(zip(BODY, np.concatenate([v, a, w, alpha], axis=1).T, strict=True)))
 
     return frames.groupBy(key).applyInPandas(run, ", ".join(f"{k} {v}" for k, v in kinds.items()) + "".join(f", {c} double" for c in BODY))
+
+
+def continuous_symmetric(frames: DataFrame, mean: np.ndarray, key: str = "trajectory_id", order: str = "frame", spacing: int = 50) -> DataFrame:
+    """(key, frame, beat array of 6): symmetric and asymmetric residuals of whole flights at every frame, from the first to the last peak of
+    the left stroke. The template is stretched to each beat; values keep their units; flights with fewer than two peaks go."""
+    kind = frames.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        wings = group[WINGS].to_numpy(float).T
+        at = K.peaks(wings[0], spacing)
+        parts = [to_symmetric(wings[:, a:b], mean, None, [1.0] * 6) for a, b in zip(at[:-1], at[1:], strict=True)]
+        values = np.concatenate(parts, axis=1).T if parts else np.zeros((0, 6))
+        place = group[order].to_numpy()[at[0] : at[-1]] if parts else np.zeros(0, np.int64)
+        return pd.DataFrame({key: group[key].iloc[0], order: place, "residual": pd.Series(values.tolist(), dtype=object)})
+
+    return frames.select(key, order, *WINGS).groupBy(key).applyInPandas(run, f"{key} {kind}, {order} long, residual array<double>")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from cadenza.functions import kernels as K
-from cadenza.functions.models import LinearEncoder, Regressor
+from cadenza.functions.models import Adam, LinearEncoder, Regressor
 from cadenza.operators import vectors as V
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,8 @@ def fit_linear_encoder(beats: DataFrame, latent: int, column: str = "beat") -> L
     """From moments summed on the executors; the covariance's size is bounded by the beat's fixed length."""
     flat = beats.select(F.flatten(column).alias("v"), F.size(column).alias("c"), F.size(F.col(column)[0]).alias("l"))
     shape = flat.select("c", "l").first()
-    found = V.principal_components(flat.select("v"), "v")
-    means = {r["dim"]: r["mean"] for r in V.dimension_stats(flat.select("v"), "v").collect()}
-    return LinearEncoder.of(found["covariance"], np.array([means[i] for i in range(len(means))]), latent, (shape["c"], shape["l"]))
+    mean, covariance = V.mean_and_covariance(flat.select("v"), "v")
+    return LinearEncoder.of(covariance, mean, latent, (shape["c"], shape["l"]))
 
 
 def _stack(column) -> np.ndarray:
@@ -76,27 +75,74 @@ def generated(rows: DataFrame, encoder, regressor: Regressor, features: str = "f
     return both.mapInPandas(run, _fields(kept) + ", beat array<array<double>>")
 
 
-def fit_grid(rows: DataFrame, configs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(run, val_loss, losses): one fit a configuration (hidden, rate, epochs, seed), side by side on the executors.
+def fit_grid(rows: DataFrame, configs: DataFrame) -> DataFrame:
+    """(run, val_loss, losses): one fit a configuration (run, hidden, rate, epochs, seed), all of them in step.
 
-    rows: (role, features, latent, duration). Every fit needs all of its rows, so the table must be small: `most` rows.
+    rows: (role, features, latent, duration). In each epoch one job sums the gradients of every run over all train rows, where they lie;
+    only sums of the weights' size reach the driver, which takes a step of Adam for each run. The number of rows has no bound. val_loss is
+    the mean squared latent error on val rows, or on train rows if there are none.
     """
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} rows are over the bound of {most}: sample them first")
-    data = rows.sparkSession.sparkContext.broadcast(rows.select("role", "features", "latent", "duration").toPandas())
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        c = group.iloc[0]
-        x, y, d = (np.stack(data.value[k].to_numpy()).astype(float) if k != "duration" else data.value[k].to_numpy(float) for k in ("features", "latent", "duration"))
-        train = (data.value["role"] == "train").to_numpy()
-        model = Regressor(hidden=(int(c["hidden"]),))
-        losses = model.fit(x[train], y[train], d[train], int(c["epochs"]), float(c["rate"]), seed=int(c["seed"]))
-        held = ~train if (~train).any() else train
-        latent, _ = model.predict(x[held])
-        return pd.DataFrame({"run": [c["run"]], "val_loss": [float(((latent - y[held]) ** 2).mean())], "losses": [losses]})
-
-    return configs.groupBy("run").applyInPandas(run, "run long, val_loss double, losses array<double>")
+    fitted, losses = fit_all(rows, configs)
+    held = rows.where("role = 'val'")
+    held = rows if held.isEmpty() else held
+    errors = _summed(held, {run: (m, "loss") for run, m in fitted.items()})
+    out = [(run, float(errors[run][0]), [float(x) for x in losses[run]]) for run in fitted]
+    return rows.sparkSession.createDataFrame(out, "run long, val_loss double, losses array<double>")
+
+
+def fit_all(rows: DataFrame, configs: DataFrame) -> tuple[dict[int, Regressor], dict[int, list[float]]]:
+    """The fitted regressors by run, and their losses by epoch."""
+    train = rows.where("role = 'train'").select("features", "latent", "duration").persist()
+    logs = train.agg(F.avg(F.log("duration")).alias("m"), F.stddev_pop(F.log("duration")).alias("s"), F.max(F.size("features")).alias("x"), F.max(F.size("latent")).alias("y"), F.count(F.lit(1)).alias("n")).first()
+    if not logs["n"]:
+        raise ValueError("no train rows")
+    wanted = {r["run"]: r for r in configs.collect()}  # a row a configuration
+    models = {run: Regressor(hidden=(int(c["hidden"]),)) for run, c in wanted.items()}
+    steps, losses = {}, {run: [] for run in wanted}
+    for run, m in models.items():
+        m.begin(logs["x"], logs["y"], logs["m"], logs["s"], int(wanted[run]["seed"]))
+        steps[run] = Adam(m, float(wanted[run]["rate"]))
+    for epoch in range(max((int(c["epochs"]) for c in wanted.values()), default=0)):
+        active = {run: m for run, m in models.items() if epoch < int(wanted[run]["epochs"])}
+        for run, flat in _summed(train, {run: (m, "gradient") for run, m in active.items()}).items():
+            losses[run].append(flat[0])
+            at, grads = 1, []
+            for p in steps[run].parameters:
+                grads.append(flat[at : at + p.size].reshape(p.shape))
+                at += p.size
+            steps[run](grads)
+    train.unpersist()
+    return models, losses
+
+
+def _summed(rows: DataFrame, models: dict[int, tuple[Regressor, str]]) -> dict[int, np.ndarray]:
+    """For every run the mean over all rows of its loss, and with 'gradient' its gradients behind it; with 'loss' of the latents alone."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        n = 0
+        for b in batches:
+            if not len(b):
+                continue
+            x, latent = np.stack(b["features"].to_numpy()).astype(float), np.stack(b["latent"].to_numpy()).astype(float)
+            n += len(b)
+            for run, (m, what) in shared.value.items():
+                if what == "gradient":
+                    loss, grads = m.gradient(x, m.targets(latent, b["duration"].to_numpy(float)))
+                    flat = np.concatenate([[loss], *[g.ravel() for g in grads]])
+                else:
+                    flat = np.array([((m.predict(x)[0] - latent) ** 2).mean(axis=1).sum()])
+                sums[run] = sums[run] + flat if run in sums else flat
+        for run, flat in sums.items():
+            yield pd.DataFrame({"run": run, "place": np.arange(len(flat)), "s": flat, "n": n})
+
+    found = rows.select("features", "latent", "duration").mapInPandas(add, "run long, place int, s double, n long").groupBy("run", "place").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    out: dict[int, list] = {}
+    for r in found.orderBy("run", "place").collect():
+        out.setdefault(r["run"], []).append(r["mean"])
+    shared.destroy()
+    return {run: np.array(v) for run, v in out.items()}
 
 
 def end_to_end(rows: DataFrame, scale: list[float]) -> DataFrame:
@@ -116,3 +162,33 @@ def traversal(spark, encoder, sd: np.ndarray, steps: int = 7, reach: float = 3.0
     """(dim, step, value, recon): each latent dimension moved alone from -reach to reach deviations."""
     rows = [(d, s, float(v * sd[d]), [float(v * sd[d]) if k == d else 0.0 for k in range(len(sd))]) for d in range(len(sd)) for s, v in enumerate(np.linspace(-reach, reach, steps))]
     return decoded(spark.createDataFrame(rows, "dim int, step int, value double, latent array<double>"), encoder).drop("latent")
+
+
+def component_traversal(latents: DataFrame, encoder, column: str = "latent", steps: int = 7, reach: float = 3.0) -> DataFrame:
+    """(component, step, delta, recon): the mean latent moved along each principal component from -reach to reach of its deviations."""
+    mean, _ = V.mean_and_covariance(latents, column)
+    found = V.principal_components(latents, column)
+    rows = [(c, s, float(d), (mean + d * found["sd"][c] * found["components"][c]).tolist()) for c in range(len(mean)) for s, d in enumerate(np.linspace(-reach, reach, steps))]
+    return decoded(latents.sparkSession.createDataFrame(rows, "component int, step int, delta double, latent array<double>"), encoder).drop("latent")
+
+
+def bootstrap_bands(latents: DataFrame, encoder, ident: str, column: str = "latent", draws: int = 200, seed: int = 0) -> DataFrame:
+    """(dim, channel, phase, p10, p50, p90) of decoded beats whose latent is the mean but for one dimension, which is drawn with replacement
+    from its values."""
+    from cadenza.operators.statistics import drawn_with_replacement
+
+    mean, _ = V.mean_and_covariance(latents, column)
+    asked = None
+    for d in range(len(mean)):
+        drawn = drawn_with_replacement(latents.select(ident, F.col(column)[d].alias("x")), "x", ident, draws, seed + d)
+        one = drawn.select(F.lit(d).alias("dim"), F.array(*[F.col("value") if k == d else F.lit(float(m)) for k, m in enumerate(mean)]).alias("latent"))
+        asked = one if asked is None else asked.unionByName(one)
+    flat = decoded(asked, encoder).select("dim", F.posexplode("recon").alias("channel", "_s")).select("dim", "channel", F.posexplode("_s").alias("phase", "x"))
+    p = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))  # `draws` values a group
+    return flat.groupBy("dim", "channel", "phase").agg(p.alias("_p")).select("dim", "channel", "phase", *[F.col("_p")[i].alias(f"p{q}") for i, q in enumerate((10, 50, 90))])
+
+
+def template_against_mean(latents: DataFrame, encoder, shape: tuple[int, int], column: str = "latent") -> DataFrame:
+    """Where the encoded template (a beat without residual) and the zero latent lie against the mean latent of all beats."""
+    template = encoder.encode(np.zeros((1, *shape)))[0]
+    return V.compare_with_centre(latents, column, {"template": template.tolist(), "zero": [0.0] * len(template)})

@@ -5,6 +5,7 @@ Every operator takes the key columns of a sequence and its order column; rows ha
 
 from __future__ import annotations
 
+from cadenza.operators.ranks import quantile_row
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ def numbered(df: DataFrame, key: str, order: list[str], name: str = "beat") -> D
 
 def magnitude_threshold(df: DataFrame, value: str, percentile: float) -> DataFrame:
     """One row: the corpus percentile of |value|, interpolated."""
-    return df.agg(F.percentile(F.abs(F.col(value)), percentile / 100).alias("threshold"))
+    return quantile_row(df, F.abs(F.col(value)), {"threshold": percentile / 100})
 
 
 def sustained_scores(df: DataFrame, key: str, order: str, value: str, *, width: int = 4, coherence: float = 0.75, percentile: float = 75.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.functions import arrays as A
+from cadenza.operators import ranks as R
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +29,15 @@ def phase_errors(df: DataFrame, predicted: str, true: str, by: list[str] | None
 
 
 def distance_percentile(distances: DataFrame, value: str, query: Column) -> DataFrame:
-    """Adds `percentile` to the rows that `query` picks: percent of all rows that are strictly nearer. One sort gives all of them."""
-    n = Window.partitionBy()
-    ranked = distances.withColumn("percentile", (F.rank().over(Window.orderBy(value)) - 1) / F.count(F.lit(1)).over(n) * 100)
-    return ranked.where(query)
+    """Adds `percentile` to the rows that `query` picks: percent of all rows that are strictly nearer."""
+    n = distances.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = R.counted_below(distances, value, "_below").crossJoin(F.broadcast(n)).withColumn("percentile", F.col("_below") / F.col("_n") * 100)
+    return ranked.drop("_below", "_n").where(query)
 
 
 def comparison_record(distances: DataFrame, value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return distances.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), p[0].alias("p5"), p[1].alias("p50"), p[2].alias("p95"))
+    moments = distances.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return moments.crossJoin(R.quantile_row(distances, value, {"p5": 0.05, "p50": 0.5, "p95": 0.95}))
 
 
 def subsample(df: DataFrame, ident: str, n: int) -> DataFrame:
@@ -71,3 +72,21 @@ def run_metric(best: Column, errors: Column) -> Column:
 
 def rmse_text(errors: Column, labels: list[str]) -> Column:
     return F.array_join(F.transform(errors, lambda e, i: F.format_string("%s=%.2f", F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1), e)), " | ")
+
+
+def degrees(column: str, units: str) -> Column:
+    """An (n, 3) array of angles in degrees; another shape or unit is an error."""
+    if units not in ("rad", "deg"):
+        raise ValueError(f"units must be rad or deg: {units}")
+    shaped = F.when(F.forall(column, lambda a: F.size(a) == 3), F.col(column)).otherwise(F.raise_error(F.lit("not an (n, 3) array of angles")))
+    return F.transform(shaped, lambda a: F.transform(a, lambda x: F.degrees(x) if units == "rad" else x.cast("double")))
+
+
+def consecutive_rows(df: DataFrame, key: str, order: str, n: int, seed: int = 0) -> DataFrame:
+    """n neighbouring rows of one sequence, both picked by a digest: the sequence among those with n rows or more, and the place where
+    the stretch begins. Order must count from 0 in each sequence."""
+    digest = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *[x.cast("string") for x in c]))
+    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    one = longest.orderBy(digest(F.col(key)), key).limit(1)
+    begin = F.conv(F.substring(digest(F.col(key), F.lit("start")), 1, 12), 16, 10).cast("long") % (F.col("_n") - n + 1)
+    return df.join(F.broadcast(one.withColumn("_begin", begin)), key).where((F.col(order) >= F.col("_begin")) & (F.col(order) < F.col("_begin") + n)).drop("_n", "_begin")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.operators import ranks as R
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def asymmetry_filter(scores: DataFrame, multiple: float = 10.0) -> DataFrame:
 
     The filter is off if the multiple or the median isn't positive.
     """
-    median = scores.agg(F.median("score").alias("median"))
+    median = R.quantile_row(scores, "score", {"median": 0.5})
     suspicion = F.when(F.col("median") <= 0, 0.0).otherwise(F.col("score") / F.col("median"))
     rated = scores.crossJoin(F.broadcast(median)).withColumn("suspicion", suspicion)
     return rated if multiple <= 0 else rated.where((F.col("median") <= 0) | (F.col("score") <= multiple * F.col("median")))
@@ -30,8 +31,14 @@ def suspicion_class(suspicion: Column) -> Column:
 def robust_band(df: DataFrame, value: str, k: float = 5.0, by: list[str] | None = None) -> DataFrame:
     """(by.., centre, low, high): median -+ k * 1.4826 * MAD; the population deviation where the MAD is 0."""
     by = by or []
+    if not by:
+        centre = R.quantile_row(df, value, {"centre": 0.5}).crossJoin(df.agg(F.stddev_pop(value).alias("_sd")))
+        middle = centre.first()["centre"]
+        mad = centre.crossJoin(R.quantile_row(df, F.abs(F.col(value) - F.lit(middle)), {"_mad": 0.5}))
+        width = k * F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
+        return mad.select("centre", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
     centre = df.groupBy(*by).agg(F.median(value).alias("centre"), F.stddev_pop(value).alias("_sd"))
-    joined = df.join(centre, by) if by else df.crossJoin(F.broadcast(centre))
+    joined = df.join(centre, by)
     mad = joined.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("centre"))).alias("_mad"), F.first("centre").alias("centre"), F.first("_sd").alias("_sd"))
     width = k * F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
     return mad.select(*by, "centre", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
@@ -40,17 +47,15 @@ def robust_band(df: DataFrame, value: str, k: float = 5.0, by: list[str] | None
 def tail_share(df: DataFrame, band: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Percent of the rows strictly outside their band."""
     by = by or []
-    joined = df.join(F.broadcast(band), by) if by else df.crossJoin(F.broadcast(band))
+    joined = df.join(band, by) if by else df.crossJoin(F.broadcast(band))
     outside = (F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))
     return joined.groupBy(*by).agg((F.avg(outside.cast("double")) * 100).alias("tail_percent"), F.sum(outside.cast("long")).alias("outside"))
 
 
-def equal_count_trend(df: DataFrame, x: str, y: str, tie: list[str], bins: int = 12) -> DataFrame:
-    """(bin, n, mean_x, mean_y, se): rows sorted by x in bins whose edges are floor(i * n / bins); se is 0 for one row."""
-    order = Window.orderBy(x, *tie)
+def equal_count_trend(df: DataFrame, x: str, y: str, tie: str, bins: int = 12) -> DataFrame:
+    """(bin, n, mean_x, mean_y, se): rows sorted by x, then tie, in bins whose edges are floor(i * n / bins); se is 0 for one row."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_i", F.row_number().over(order)).crossJoin(F.broadcast(total))
-    placed = ranked.withColumn("bin", F.floor((bins * F.col("_i") - 1) / F.col("_n")).cast("long"))
+    placed = R.ranked(df.select(x, y, tie), x, tie, "_i").crossJoin(F.broadcast(total)).withColumn("bin", F.floor((bins * (F.col("_i") + 1) - 1) / F.col("_n")).cast("long"))
     n = F.count(F.lit(1))
     return placed.groupBy("bin").agg(n.alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.when(n > 1, F.stddev_samp(y) / F.sqrt(n)).otherwise(0.0).alias("se"))
 
@@ -83,6 +88,10 @@ def two_sample_ks(a: DataFrame, b: DataFrame, value: str, by: list[str] | None =
     by = by or []
     both = a.select(*by, F.col(value).alias("_v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*by, F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))).where(F.col("_v").isNotNull())
     steps = both.groupBy(*by, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    if not by:
+        whole = steps.agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+        gap = F.abs((F.col("_below_a") + F.col("_a")) / F.col("n_a") - (F.col("_below_b") + F.col("_b")) / F.col("n_b"))
+        return R.running(steps, "_v", {"_below_a": "_a", "_below_b": "_b"}).crossJoin(F.broadcast(whole)).agg(F.max(gap).alias("d"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     run = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     gap = F.abs(F.sum("_a").over(run) / F.sum("_a").over(whole) - F.sum("_b").over(run) / F.sum("_b").over(whole))
@@ -109,14 +118,14 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, by: list[str] |
     counts = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", at.cast("long")).groupBy("bin", *by).agg(F.count(F.lit(1)).alias("n"))
     frame = spark.range(bins).withColumnRenamed("id", "bin")
     if by:
-        frame = frame.crossJoin(F.broadcast(df.select(*by).distinct()))
+        frame = df.select(*by).distinct().crossJoin(F.broadcast(frame))
     return frame.join(counts, ["bin", *by], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def clipped_density(df: DataFrame, value: str, bins: int, low: float = 0.5, high: float = 99.5) -> DataFrame:
     """(bin, n, density): bins between two percentiles; values outside are left out of counts and density."""
     spark = df.sparkSession
-    edges = df.agg(F.percentile(value, low / 100).alias("_low"), F.percentile(value, high / 100).alias("_high"))
+    edges = R.quantile_row(df, value, {"_low": low / 100, "_high": high / 100})
     inside = df.crossJoin(F.broadcast(edges)).where(F.col(value).between(F.col("_low"), F.col("_high")))
     width = (F.col("_high") - F.col("_low")) / bins
     counts = inside.withColumn("bin", F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1)).cast("long")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -179,3 +188,32 @@ def winners(runs: DataFrame, by: list[str], loss: str, order: str) -> DataFrame:
     """The run of the smallest loss in each group, the earliest of equals."""
     kept = [c for c in runs.columns if c not in by]
     return runs.groupBy(*by).agg(F.min_by(F.struct(*kept), F.struct(loss, order)).alias("_w")).select(*by, "_w.*")
+
+
+def bucket_evaluation(df: DataFrame, score: str, predicted: str, true: str, residual: str | None, scale: list[float]) -> DataFrame:
+    """(position, bucket, n, norm_mse, rmse_deg array, mean_rmse_deg) of beats (channels x samples) by their score's bucket.
+
+    norm_mse compares the beats as they are, or `residual`, an array column of errors, if they are compared in another space; channel
+    errors are undone by the scale and given in degrees. A row may be in two buckets; an empty bucket stays, with nulls.
+    """
+    from cadenza.functions.registry import BUCKETS, bucket_flags
+
+    flags = bucket_flags(F.col(score))
+    names = F.filter(F.array(*[F.when(flags[b], F.lit(b)) for b in BUCKETS]), lambda b: b.isNotNull())
+    square = lambda a, b: F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    channels = F.zip_with(F.col(predicted).cast("array<array<double>>"), F.col(true).cast("array<array<double>>"), lambda a, b: mean(square(a, b)))
+    rows = df.select(names.alias("_b"), channels.alias("_c")).withColumn("_m", mean(F.col("_c"))) if residual is None else df.select(names.alias("_b"), channels.alias("_c"), mean(F.transform(residual, lambda x: x * x)).alias("_m"))
+    flat = rows.select(F.explode("_b").alias("bucket"), "_c", "_m")
+    sums = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("norm_mse"), F.array(*[F.degrees(F.sqrt(F.avg(F.col("_c")[k])) * s) for k, s in enumerate(scale)]).alias("rmse_deg"))
+    order = df.sparkSession.createDataFrame(list(enumerate(BUCKETS)), "position int, bucket string")
+    return order.join(F.broadcast(sums), "bucket", "left").select("position", "bucket", F.coalesce("n", F.lit(0)).alias("n"), "norm_mse", "rmse_deg", mean(F.col("rmse_deg")).alias("mean_rmse_deg"))
+
+
+def drawn_with_replacement(values: DataFrame, column: str, ident: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, value): rows drawn with replacement. A draw's row number comes from a digest of the seed and the draw, so every run draws
+    the same; rows are numbered in the order of `ident`."""
+    n = values.count()
+    numbers = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % max(n, 1)
+    asked = values.sparkSession.range(draws).select(F.col("id").alias("draw"), numbers.alias("_pos"))
+    return R.ranked(values.select(ident, column), ident, column, "_pos").join(F.broadcast(asked), "_pos").select("draw", F.col(column).alias("value"))

@@ -118,12 +118,50 @@ def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
 
 
 def covariance(df: DataFrame, vector: str) -> DataFrame:
-    """(i, j, cov) with n - 1, from moments that merge in the map tasks. The vector's length bounds the result."""
-    centre = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = F.broadcast(centre.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m")))
-    centred = df.select(F.col(vector).cast("array<double>").alias("_v")).crossJoin(means).select(F.zip_with("_v", "_m", lambda x, m: x - m).alias("c"))
-    products = centred.select("c", F.posexplode("c").alias("i", "x")).select("i", "x", F.posexplode("c").alias("j", "y"))
-    return products.groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / (F.count(F.lit(1)) - 1)).alias("cov"))
+    """(i, j, cov) with n - 1. Each task sums the products of its centred rows as one matrix, and the matrices are added up, so what is
+    shuffled is a row for each entry and task. The vector's length bounds the result; fewer than two rows give none."""
+    centre = [r["mean"] for r in dimension_stats(df, vector).orderBy("dim").collect()]
+    size = len(centre)
+    fields = "i int, j int, s double, n long"
+    if not size:
+        return df.sparkSession.createDataFrame([], "i int, j int, cov double")
+
+    def moments(batches):
+        import pandas as pd
+
+        total, n = np.zeros((size, size)), 0
+        for b in batches:
+            if len(b):
+                c = np.stack(b["v"].to_numpy()).astype(float) - centre
+                total += c.T @ c
+                n += len(c)
+        if n:
+            i, j = np.indices((size, size))
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel(), "n": n})
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    return rows.mapInPandas(moments, fields).groupBy("i", "j").agg((F.sum("s") / (F.sum("n") - 1)).alias("cov"))
+
+
+def mean_and_covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both on the driver; the vector's length bounds their size."""
+    mean = np.array([r["mean"] for r in dimension_stats(df, vector).orderBy("dim").collect()])
+    c = np.zeros((len(mean), len(mean)))
+    for r in covariance(df, vector).collect():
+        c[r["i"], r["j"]] = r["cov"]
+    return mean, c
+
+
+def mahalanobis(df: DataFrame, vector: str, centre: np.ndarray, inverse: np.ndarray, name: str = "distance") -> DataFrame:
+    """Adds the distance from `centre` under a full inverse covariance (a pseudo-inverse, where dimensions depend on each other)."""
+
+    def run(batches):
+        for b in batches:
+            x = np.stack(b[vector].to_numpy()).astype(float) - centre if len(b) else np.zeros((0, len(centre)))
+            yield b.assign(**{name: np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", x, inverse, x), 0))})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{fields}, {name} double")
 
 
 def principal_components(df: DataFrame, vector: str) -> dict[str, np.ndarray]:
@@ -131,11 +169,8 @@ def principal_components(df: DataFrame, vector: str) -> dict[str, np.ndarray]:
 
     Each component's largest entry is made positive.
     """
-    rows = covariance(df, vector).collect()
-    n = int(len(rows) ** 0.5)
-    c = np.zeros((n, n))
-    for r in rows:
-        c[r["i"], r["j"]] = r["cov"]
+    _, c = mean_and_covariance(df, vector)
+    n = len(c)
     values, vectors = np.linalg.eigh(c)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
     vectors = vectors * np.sign(vectors[np.arange(n), np.abs(vectors).argmax(axis=1)])[:, None]
@@ -158,11 +193,8 @@ def ridge(df: DataFrame, x: str, y: str, alpha: float) -> tuple[np.ndarray, np.n
     joint = df.select(F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("v"), F.size(x).alias("_n"))
     size = joint.select("_n").first()["_n"]
     n = joint.count()
-    means = {r["dim"]: r["mean"] for r in dimension_stats(joint, "v").collect()}
-    mean = np.array([means[i] for i in range(len(means))])
-    c = np.zeros((len(mean), len(mean)))
-    for r in covariance(joint, "v").collect():
-        c[r["i"], r["j"]] = r["cov"] * (n - 1)
+    mean, c = mean_and_covariance(joint, "v")
+    c *= n - 1
     weights = np.linalg.solve(c[:size, :size] + alpha * np.eye(size), c[:size, size:]) if alpha > 0 else np.linalg.pinv(c[:size, :size]) @ c[:size, size:]
     return weights, mean[:size], mean[size:]
 
@@ -208,3 +240,120 @@ def fit_scaler(df: DataFrame, values: list[str], kind: str) -> dict[str, tuple[f
 
 def scale(df: DataFrame, fitted: dict[str, tuple[float, float]], inverse: bool = False) -> DataFrame:
     return df.withColumns({v: F.col(v) * s + o if inverse else (F.col(v) - o) / s for v, (o, s) in fitted.items()})
+
+
+# features of beats, scaled inputs
+
+
+def channel_features(df: DataFrame, beat: str, weights: list[float], equalize: bool = False, name: str = "features") -> DataFrame:
+    """Adds the flattened beat (channels x samples) with each channel times the root of its weight, so that squared distances carry the
+    weights. equalize: channels are first divided by their deviation over all rows and samples (at least 1e-8)."""
+    scales = [w**0.5 for w in weights]
+    if equalize:
+        flat = df.select(F.posexplode(beat).alias("c", "_s")).select("c", F.explode("_s").alias("x"))
+        sd = {r["c"]: r["sd"] for r in flat.groupBy("c").agg(F.stddev_samp(F.col("x").cast("double")).alias("sd")).collect()}  # a row a channel
+        scales = [w / max(sd.get(c) or 0.0, 1e-8) for c, w in enumerate(scales)]
+    factor = F.array(*[F.lit(float(x)) for x in scales])
+    size = F.when(F.size(beat) == len(weights), F.col(beat)).otherwise(F.raise_error(F.lit(f"a beat hasn't {len(weights)} channels")))
+    return df.withColumn(name, F.flatten(F.transform(size, lambda channel, c: F.transform(channel, lambda x: x.cast("double") * F.element_at(factor, c + 1)))))
+
+
+def default_scaler(indices: list[int], core: int = 12) -> str:
+    """vector_norm for exactly the core channels in order, else standardize."""
+    return "vector_norm" if list(indices) == list(range(core)) else "standardize"
+
+
+def fit_body_scaler(df: DataFrame, body: str, indices: list[int], kind: str | None = None) -> dict:
+    """A scaler as a plain dict, from an array column: vector_norm divides threes of channels by their mean norm, standardize is a z-score."""
+    kind = kind or default_scaler(indices)
+    if kind == "vector_norm":
+        if len(indices) % 3:
+            raise ValueError("vector_norm takes channels in threes")
+        threes = [indices[i : i + 3] for i in range(0, len(indices), 3)]
+        row = df.agg(*[F.avg(A.vector_norm3(*[F.col(body)[c] for c in t])).alias(f"n{k}") for k, t in enumerate(threes)]).first()
+        factors = [1.0] * (max(indices) + 1)
+        for k, t in enumerate(threes):
+            for c in t:
+                factors[c] = row[f"n{k}"] or 1e-8
+        return {"type": kind, "indices": list(indices), "scale_factors": factors}
+    if kind != "standardize":
+        raise ValueError(f"no scaler {kind}")
+    row = df.agg(*[F.avg(F.col(body)[c]).alias(f"m{c}") for c in indices], *[F.stddev_pop(F.col(body)[c]).alias(f"s{c}") for c in indices]).first()
+    return {"type": kind, "indices": list(indices), "mean": [row[f"m{c}"] for c in indices], "std": [s if (s := row[f"s{c}"]) > 1e-8 else 1.0 for c in indices]}
+
+
+def offset_and_scale(scaler: dict) -> tuple[list[int], list[float], list[float]]:
+    """(channels, offset, scale) of a stored scaler; vector_norm has no offset and, where it names no channels, takes all."""
+    if scaler.get("type") == "vector_norm":
+        factors = list(scaler["scale_factors"])
+        indices = [int(i) for i in scaler.get("indices", range(len(factors)))]
+        return indices, [0.0] * len(indices), [float(factors[i]) for i in indices]
+    if scaler.get("type") == "standardize":
+        return [int(i) for i in scaler["indices"]], [float(x) for x in scaler["mean"]], [float(x) for x in scaler["std"]]
+    raise ValueError(f"no scaler {scaler.get('type')}")
+
+
+def scaled_input(df: DataFrame, body: str, following: str, scaler: dict, with_next: bool = True, name: str = "x") -> DataFrame:
+    """Adds the chosen channels, scaled, of this beat and, if asked, behind them those of the next one."""
+    indices, offset, width = offset_and_scale(scaler)
+    halves = [F.array(*[(F.col(c)[i] - o) / w for i, o, w in zip(indices, offset, width, strict=True)]) for c in [body, following][: 1 + with_next]]
+    return df.withColumn(name, F.concat(*halves))
+
+
+# predictors
+
+
+def report_predictor(pairs: DataFrame, name: str, predicted: str = "p", true: str = "t") -> DataFrame:
+    """(predictor, mse, mean_r2, median_percentile, top_10): errors of a prediction and how well it finds its own row."""
+    errors = F.zip_with(F.col(predicted).cast("array<double>"), F.col(true).cast("array<double>"), lambda a, b: (a - b) * (a - b))
+    mse = pairs.agg(F.avg(A.total(errors) / F.size(true)).alias("mse"))
+    r2 = r2_by_dimension(pairs, predicted, true).agg(F.avg("r2").alias("mean_r2"))
+    found = retrieval_ranks(pairs, "id", predicted, true)
+    percentile = F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))
+    ranks = found.agg(F.median(percentile).alias("median_percentile"), F.avg((F.col("rank") < 10).cast("double")).alias("top_10"))
+    return mse.crossJoin(r2).crossJoin(ranks).select(F.lit(name).alias("predictor"), "mse", "mean_r2", "median_percentile", "top_10")
+
+
+def predictor_ladder(train: DataFrame, val: DataFrame, alphas: tuple[float, ...] = (0.0, 1.0, 10.0, 100.0), ks: tuple[int, ...] = (1, 5, 10, 25, 50)) -> DataFrame:
+    """What simple predictors reach on `val`: the train mean, ridge by alpha, and the mean of the k nearest train rows. Rows: id, x, y."""
+    centre = [r["mean"] for r in dimension_stats(train, "y").orderBy("dim").collect()]
+    out = report_predictor(val.select("id", F.array(*[F.lit(float(c)) for c in centre]).alias("p"), F.col("y").alias("t")), "mean")
+    for a in alphas:
+        fitted = ridge(train, "x", "y", a)
+        out = out.unionByName(report_predictor(ridge_predict(val, "x", fitted, "p").select("id", "p", F.col("y").alias("t")), f"ridge {a:g}"))
+    if ks:
+        near = exact_neighbours(val, train, max(ks), vector="x")
+        flat = near.join(train.select(F.col("id").alias("neighbour"), F.posexplode("y").alias("dim", "u")), "neighbour")
+        for k in ks:
+            means = flat.where(F.col("rank") <= k).groupBy("query", "dim").agg(F.avg("u").alias("m"))
+            p = means.groupBy(F.col("query").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("p"))
+            out = out.unionByName(report_predictor(p.join(val.select("id", F.col("y").alias("t")), "id"), f"nearest {k}"))
+    return out
+
+
+def achievable(rows: DataFrame, group: str = "label") -> DataFrame:
+    """One row: the highest mean R2 that any function of x may reach for the vector y, from each row's nearest x of another group.
+
+    Rows with near inputs share their conditional mean, so half their mean squared difference is noise. Rows: id, x, y and the group.
+    """
+    near = exact_neighbours(rows, rows, 1, vector="x", apart=group)
+    y = rows.select("id", F.col("y").cast("array<double>").alias("y"))
+    pairs = near.join(y.select(F.col("id").alias("query"), F.col("y").alias("_a")), "query").join(y.select(F.col("id").alias("neighbour"), F.col("y").alias("_b")), "neighbour")
+    noise = pairs.agg(F.count(F.lit(1)).alias("n"), (F.avg(A.squared_distance(F.col("_a"), F.col("_b"))) / 2).alias("noise"), F.median(F.sqrt("d2")).alias("median_distance"))
+    variance = rows.select(F.posexplode("y").alias("dim", "u")).groupBy("dim").agg(F.var_pop(F.col("u").cast("double")).alias("v")).agg(F.sum("v").alias("variance"))
+    size = rows.agg(F.median(A.norm(F.col("x").cast("array<double>"))).alias("median_norm"))
+    return noise.crossJoin(variance).crossJoin(size).withColumn("ceiling", 1 - F.col("noise") / F.greatest("variance", F.lit(1e-12)))
+
+
+def compare_with_centre(rows: DataFrame, vector: str, queries: dict[str, list[float]]) -> DataFrame:
+    """(name, l2, diagonal, full, percentile) of vectors against the mean of all rows: distance, Mahalanobis distances under deviations
+    and under the whole covariance, and the percent of rows that lie nearer to the mean."""
+    mean, c = mean_and_covariance(rows, vector)
+    sd, inverse = np.maximum(np.sqrt(np.diag(c)), 1e-12), np.linalg.pinv(c)
+    off = {name: np.asarray(q, float) - mean for name, q in queries.items()}
+    l2 = {name: float(np.sqrt((d * d).sum())) for name, d in off.items()}
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    distance = F.sqrt(A.squared_distance(F.col(vector).cast("array<double>"), centre))
+    nearer = rows.select(distance.alias("_d")).agg(*[(F.avg((F.col("_d") < v).cast("double")) * 100).alias(f"p{k}") for k, v in enumerate(l2.values())]).first()
+    out = [(name, l2[name], float(np.sqrt(((d / sd) ** 2).sum())), float(np.sqrt(max(d @ inverse @ d, 0))), nearer[f"p{k}"]) for k, (name, d) in enumerate(off.items())]
+    return rows.sparkSession.createDataFrame(out, "name string, l2 double, diagonal double, full double, percentile double")

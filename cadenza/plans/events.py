@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.functions.registry import BUCKETS
+from cadenza.operators import ranks as R
 from cadenza.operators import sequence as S
 from cadenza.operators import statistics as Q
 from cadenza.plans.common import EV, Book, beats, r
@@ -50,8 +51,8 @@ def bucket_report(spark, d):
 
 @QUERIES.add(EV + " SELECT round(quantile_cont(abs(x), 0.75), 6) AS p75, round(quantile_cont(abs(x), 0.5), 6) AS p50 FROM ev")
 def magnitude_thresholds(spark, d):
-    b = beats(spark, d)
-    return b.agg(r(F.percentile(F.abs("x"), 0.75)).alias("p75"), r(F.percentile(F.abs("x"), 0.5)).alias("p50"))
+    found = R.quantile_row(beats(spark, d), F.abs("x"), {"p75": 0.75, "p50": 0.5})
+    return found.select(r("p75").alias("p75"), r("p50").alias("p50"))
 
 
 @QUERIES.add(EV + _MAXIMA + " SELECT traj, \"at\", round(height, 6) AS height FROM mx")
@@ -133,7 +134,7 @@ def tail_share(spark, d):
 SELECT CAST(floor((12 * i - 1) * 1.0 / n) AS BIGINT) AS bin, count(*) AS n, round(avg(x), 6) + 0.0 AS mean_x, round(avg(value), 6) AS mean_y, round(CASE WHEN count(*) > 1 THEN stddev_samp(value) / sqrt(count(*)) ELSE 0 END, 6) AS se
 FROM o GROUP BY 1""")
 def binned_trend(spark, d):
-    return Q.equal_count_trend(beats(spark, d), "x", "value", ["event_id"]).select("bin", "n", r("mean_x").alias("mean_x"), r("mean_y").alias("mean_y"), r("se").alias("se"))
+    return Q.equal_count_trend(beats(spark, d), "x", "value", "event_id").select("bin", "n", r("mean_x").alias("mean_x"), r("mean_y").alias("mean_y"), r("se").alias("se"))
 
 
 @QUERIES.add(EV + """, k AS (SELECT event_type, x, beat, rank() OVER (PARTITION BY event_type ORDER BY x) + (count(*) OVER (PARTITION BY event_type, x) - 1) / 2.0 AS rx,
@@ -209,13 +210,13 @@ def two_sample_ks(spark, d):
     return tests.select("metric", r("d").alias("d"), "n_a", "n_b", Q.effect(F.col("d")).alias("effect"))
 
 
-@QUERIES.add(EV + """, v AS (SELECT event_type AS metric, value, sum(CASE WHEN traj % 2 = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN traj % 2 = 1 THEN 1 ELSE 0 END) AS b FROM ev WHERE traj % 2 = 0 OR beat > 20 GROUP BY 1, 2),
+@QUERIES.add(EV + """, v AS (SELECT event_type AS metric, value, sum(CASE WHEN traj % 2 = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN traj % 2 = 1 THEN 1 ELSE 0 END) AS b FROM ev GROUP BY 1, 2),
 g AS (SELECT metric, abs(sum(a) OVER w * 1.0 / sum(a) OVER p - sum(b) OVER w * 1.0 / sum(b) OVER p) AS gap FROM v WINDOW w AS (PARTITION BY metric ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY metric)),
 t AS (SELECT metric, max(gap) AS d FROM g GROUP BY metric)
 SELECT CASE WHEN bool_or(d >= 0.35) THEN 'INCOMPATIBLE' WHEN bool_or(d >= 0.2) THEN 'BORDERLINE' ELSE 'COMPATIBLE' END AS verdict, coalesce(string_agg(metric, ',' ORDER BY d DESC, metric DESC) FILTER (WHERE d >= 0.2), '') AS drivers FROM t""")
 def comparison_verdict(spark, d):
     b = beats(spark, d).withColumnRenamed("event_type", "metric")
-    return Q.verdict(Q.two_sample_ks(b.where("traj % 2 = 0"), b.where("traj % 2 = 1 and beat > 20"), "value", ["metric"]))
+    return Q.verdict(Q.two_sample_ks(b.where("traj % 2 = 0"), b.where("traj % 2 = 1"), "value", ["metric"]))
 
 
 @QUERIES.add("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.key'), 'none') AS field, length(props) AS size FROM events""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from cadenza.functions import arrays as A
 from cadenza.operators import graph as G
+from cadenza.operators import ranks as R
 from cadenza.operators import vectors as V
 from cadenza.plans.common import Book, r
 from cadenza.sources.tables import table
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 QUERIES = Book()
@@ -39,7 +39,7 @@ def neighbour_regression(spark, d):
     return V.neighbour_means(_near(spark, d), y).select("query", r("pred").alias("pred"))
 
 
-@QUERIES.add(_KNN + """, n AS (SELECT query, neighbour FROM k JOIN v a ON a.id = query JOIN v b ON b.id = neighbour WHERE a.label <> b.label QUALIFY row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) = 1)
+@QUERIES.add(_KNN + """, n AS (SELECT query, neighbour FROM d JOIN v a ON a.id = query JOIN v b ON b.id = neighbour WHERE a.label <> b.label QUALIFY row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) = 1)
 SELECT query, neighbour FROM n""")
 def nearest_of_other_group(spark, d):
     v = _vectors(spark, d)
@@ -87,10 +87,9 @@ def dimension_stats(spark, d):
     return V.dimension_stats(_vectors(spark, d), "v").select("dim", "n", r("mean").alias("mean"), r("sd").alias("sd"))
 
 
-@QUERIES.add(_V + " SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(covar_samp(e[i], e[j]), 6) + 0.0 AS cov FROM v, range(1, 9) a(i), range(1, 9) b(j) GROUP BY 1, 2")
+@QUERIES.add(_V + " SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(covar_samp(e[i], e[j]), 6) + 0.0 AS cov FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2")
 def covariance(spark, d):
-    v = _vectors(spark, d).select(F.slice("v", 1, 8).alias("v"))
-    return V.covariance(v, "v").select("i", "j", r("cov").alias("cov"))
+    return V.covariance(_vectors(spark, d), "v").select("i", "j", r("cov").alias("cov"))
 
 
 @QUERIES.add(_V + """, s AS (SELECT i, avg(e[i]) AS m, stddev_samp(e[i]) AS sd FROM v, range(1, 65) t(i) GROUP BY i)
@@ -109,9 +108,9 @@ def spread_examples(spark, d):
     v = _vectors(spark, d)
     centre = V.dimension_stats(v, "v").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("m"))
     far = v.crossJoin(F.broadcast(centre)).select("id", A.squared_distance(F.col("v"), F.col("m")).alias("d2"))
-    ranked = far.withColumns({"pos": (F.row_number().over(Window.orderBy("d2", "id")) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.floor(k * F.lit(0.99) / 5 * (F.col("n") - 1))))
-    return ranked.where(F.array_contains(picks, F.col("pos"))).select("id", "pos", r("d2").alias("d2"))
+    n = far.count()
+    picks = sorted({int(k * 0.99 / 5 * (n - 1)) for k in range(6)}) if n else []
+    return R.ranked(far, "d2", "id").where(F.col("pos").isin(picks)).select("id", "pos", r("d2").alias("d2"))
 
 
 @QUERIES.add(_V + """, m AS (SELECT label, i, avg(e[i]) AS mean, stddev_pop(e[i]) AS sd FROM v, range(1, 65) t(i) GROUP BY 1, 2) SELECT label, CAST(i - 1 AS INT) AS phase, round(mean, 6) + 0.0 AS mean, round(sd, 6) AS sd FROM m""")
@@ -127,12 +126,12 @@ def template_distance(spark, d):
     return means.agg(r(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), 2)))).alias("distance"))
 
 
-_AFF = _KNN.replace(" WHERE id % 4 = 0", " WHERE id % 2 = 0").replace("FROM q, v)", "FROM q, q AS v)") + """, ep AS (SELECT greatest(quantile_disc(d2, 0.5), 1e-12) AS epsilon FROM k WHERE query <> neighbour),
+_AFF = _KNN.replace(" WHERE id % 4 = 0", "") + """, ep AS (SELECT greatest(quantile_disc(d2, 0.5), 1e-12) AS epsilon FROM k WHERE query <> neighbour),
 h AS (SELECT query AS i, neighbour AS j, exp(-d2 / epsilon) / 2 AS w FROM k, ep), ed AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w FROM h UNION ALL SELECT j, i, w FROM h) GROUP BY i, j), dg AS (SELECT i, greatest(sum(w), 1e-12) AS degree FROM ed GROUP BY i)"""
 
 
 def _edges(spark, d):
-    v = _vectors(spark, d).where("id % 2 = 0")
+    v = _vectors(spark, d)
     near = V.exact_neighbours(v, v, K)
     return G.affinity(near, G.bandwidth(near))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cadenza.functions import arrays as A
 from cadenza.functions.registry import WING_SCALE
+from cadenza.operators import ranks as R
 from cadenza.operators import sequence as S
 from cadenza.operators import statistics as Q
 from cadenza.operators import vectors as V
@@ -31,7 +32,7 @@ def screening(spark, d):
 @QUERIES.add(_ASYM + " SELECT flight, CAST(row_number() OVER (ORDER BY flight) - 1 AS BIGINT) AS trajectory_id, round(score, 6) AS score FROM q WHERE score <= 1.02 * median")
 def garbage_filter(spark, d):
     kept = Q.asymmetry_filter(_scores(spark, d), 1.02)
-    return S.numbered(kept.withColumn("_all", F.lit(0)), "_all", ["flight"], "trajectory_id").select("flight", "trajectory_id", r("score").alias("score"))
+    return R.ranked(kept, "flight", "flight", "trajectory_id").select("flight", "trajectory_id", r("score").alias("score"))
 
 
 _SIDES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS side, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, l_tax FROM lineitem"
@@ -74,11 +75,11 @@ def correlation_table(spark, d):
     return Q.correlation_table(table(spark, d, "lineitem"), _COLS[:2], _COLS).select("left", "right", r("r").alias("r"))
 
 
-def _scaler_query(name, kind, offset, width):
-    sql = " UNION ALL ".join(f"SELECT '{c}' AS feature, round({offset.format(c=c)}, 6) + 0.0 AS shift, round({width.format(c=c)}, 6) AS width FROM lineitem" for c in _COLS[:3])
+def _scaler_query(name, kind, offset, width, columns=_COLS):
+    sql = " UNION ALL ".join(f"SELECT '{c}' AS feature, round({offset.format(c=c)}, 6) + 0.0 AS shift, round({width.format(c=c)}, 6) AS width FROM lineitem" for c in columns)
 
     def query(spark, d):
-        fitted = V.fit_scaler(table(spark, d, "lineitem"), _COLS[:3], kind)
+        fitted = V.fit_scaler(table(spark, d, "lineitem"), columns, kind)
         return spark.createDataFrame([(c, float(o), float(s)) for c, (o, s) in fitted.items()], "feature string, shift double, width double").select("feature", r("shift").alias("shift"), r("width").alias("width"))
 
     QUERIES[name] = (query, sql)
@@ -87,7 +88,8 @@ def _scaler_query(name, kind, offset, width):
 _scaler_query("scaler_zscore", "zscore", "avg({c})", "stddev_pop({c})")
 _scaler_query("scaler_sample_zscore", "sample_zscore", "avg({c})", "stddev_samp({c})")
 _scaler_query("scaler_minmax", "minmax", "min({c})", "max({c}) - min({c})")
-_scaler_query("scaler_vector_norm", "vector_norm", "0 * avg({c})", "avg(sqrt(l_quantity * l_quantity + l_extendedprice * l_extendedprice + l_discount * l_discount)) + 0 * avg({c})")
+_scaler_query("scaler_vector_norm", "vector_norm", "0 * avg({c})", "avg(sqrt(l_quantity * l_quantity + l_extendedprice * l_extendedprice + l_discount * l_discount)) + 0 * avg({c})", _COLS[:3])
+_scaler_query("scaler_identity", "identity", "0 * avg({c})", "1 + 0 * avg({c})")
 
 
 @QUERIES.add("""SELECT l_suppkey, round(avg((l_quantity - m) / s), 6) + 0.0 AS z, round(avg((l_quantity - m) / s * s + m), 6) AS back FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem) GROUP BY l_suppkey""")
@@ -138,5 +140,5 @@ def column_groups(spark, d):
 @QUERIES.add("""WITH p AS (SELECT array_agg(1) AS q, quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem) SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_extendedprice BETWEEN lo AND hi) AS shown FROM lineitem, p GROUP BY l_suppkey""")
 def display_clip(spark, d):
     rows = table(spark, d, "lineitem")
-    edges = rows.agg(F.percentile("l_extendedprice", 0.01).alias("lo"), F.percentile("l_extendedprice", 0.99).alias("hi"))
+    edges = R.quantile_row(rows, "l_extendedprice", {"lo": 0.01, "hi": 0.99})
     return rows.crossJoin(F.broadcast(edges)).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_extendedprice").between(F.col("lo"), F.col("hi"))).alias("shown"))

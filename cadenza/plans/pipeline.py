@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.operators import beats as B
+from cadenza.operators import ranks as R
 from cadenza.operators import sequence as S
 from cadenza.operators import statistics as Q
 from pyspark.sql import DataFrame
@@ -26,8 +27,7 @@ def without_garbage(frames: DataFrame, multiple: float = 10.0) -> DataFrame:
 
     pairs = [(f"{c}_l", f"{c}_r", s) for c, s in zip(("phi", "theta", "psi"), WING_SCALE, strict=True)]
     kept = Q.asymmetry_filter(Q.asymmetry(frames, KEY, pairs), multiple).select(KEY)
-    ids = S.numbered(kept.withColumn("_all", F.lit(0)), "_all", [KEY], "_new").drop("_all")
-    return frames.join(F.broadcast(ids), KEY).drop(KEY).withColumnRenamed("_new", KEY)
+    return frames.join(R.ranked(kept, KEY, KEY, "_new"), KEY).drop(KEY).withColumnRenamed("_new", KEY)
 
 
 def build_beats(frames: DataFrame, length: int = B.LENGTH, spacing: int = 50, representation: str = "sa") -> tuple[DataFrame, DataFrame]:

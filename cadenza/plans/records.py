@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from cadenza.operators import statistics as Q
+from cadenza.operators.ranks import ranked
 from cadenza.plans.common import Book, r
-from cadenza.sources.tables import latest, ordinals, table
+from cadenza.sources.tables import latest, table
 from pyspark.sql import functions as F
 
 QUERIES = Book()
@@ -18,7 +19,7 @@ def fingerprints(spark, d):
 @QUERIES.add("SELECT url AS path, CAST(row_number() OVER (ORDER BY url, page_id) - 1 AS BIGINT) AS trajectory_id FROM pages")
 def path_ordinals(spark, d):
     files = table(spark, d, "pages").select("url", "page_id")
-    return ordinals(files.withColumn("k", F.struct("url", "page_id")), "k").select(F.col("url").alias("path"), "trajectory_id")
+    return ranked(files, "url", "page_id", "trajectory_id").select(F.col("url").alias("path"), "trajectory_id")
 
 
 @QUERIES.add("SELECT max(url) AS url FROM pages")

@@ -25,7 +25,7 @@ def _v(spark, d):
 
 def _with_means(spark, d):
     v = _v(spark, d)
-    return v.join(F.broadcast(H.mean_vector(v, "e", ["label"])), "label")
+    return v.join(H.mean_vector(v, "e", ["label"]), "label")
 
 
 def _distances(spark, d):
@@ -95,7 +95,7 @@ def run_metrics(spark, d):
     return _v(spark, d).select("id", r(H.run_metric(best, F.slice("e", 1, 6))).alias("metric"))
 
 
-_DIMS = 4
+_DIMS = 64
 
 
 @QUERIES.add(_V + f""", x AS (SELECT i - 1 AS dim, e[i] AS x FROM v, range(1, {_DIMS + 1}) t(i)), g AS (SELECT min(x) AS lo, max(x) AS hi FROM x), c AS (SELECT least(floor((x - lo) / ((hi - lo) / 40)), 39) AS bin, dim, count(*) AS n FROM x, g GROUP BY 1, 2)
@@ -110,9 +110,9 @@ def row_alignment(spark, d):
     return H.same_rows(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
 
 
-@QUERIES.add("SELECT user_id AS beat, list_sort(list(DISTINCT side)) AS sides FROM (SELECT user_id, CAST(event_id % 2 AS INT) AS side FROM events WHERE user_id % 3 > 0 OR event_id % 2 = 0) GROUP BY 1 HAVING count(DISTINCT side) < 2".replace("list_sort(list(DISTINCT side))", "min(side)"))
+@QUERIES.add("SELECT beat, min(side) AS sides FROM (SELECT user_id || ':' || event_type AS beat, CAST(event_id % 2 AS INT) AS side FROM events) GROUP BY 1 HAVING count(DISTINCT side) < 2")
 def unpaired_beats(spark, d):
-    rows = table(spark, d, "events").where("user_id % 3 > 0 or event_id % 2 = 0").select(F.col("user_id").alias("beat"), (F.col("event_id") % 2).cast("int").alias("side"))
+    rows = table(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("beat"), (F.col("event_id") % 2).cast("int").alias("side"))
     return H.lacking_sides(rows, "beat").select("beat", F.col("sides")[0].alias("sides"))
 
 

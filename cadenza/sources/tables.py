@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_SUFFIX = "_analysis_smoothed.h5"
@@ -14,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written as Parquet to the shared folder in spark.checkpoint.dir and read back; held in memory where none is set."""
+    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        return df.persist()
+    path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discover(spark: SparkSession, root: str, suffix: str = "", recursive: bool = True) -> DataFrame:
     """(path, length, modified): files under a folder whose names end in `suffix`; their content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*{suffix}").load(root)
@@ -22,7 +33,9 @@ def discover(spark: SparkSession, root: str, suffix: str = "", recursive: bool =
 
 def ordinals(files: DataFrame, path: str = "path", name: str = "trajectory_id") -> DataFrame:
     """A 0-based ordinal by full path, in byte order."""
-    return files.withColumn(name, (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
+    from cadenza.operators.ranks import ranked
+
+    return ranked(files, path, path, name)
 
 
 def experiments(files: DataFrame, root: str, suffix: str = RAW_SUFFIX) -> DataFrame:
@@ -103,3 +116,52 @@ def write_summary_csv(df: DataFrame, path: str, order: str) -> None:
 def json_field(column: str, names: list[str], default) -> Column:
     """The first of the names that a JSON text has, as text, or the default."""
     return F.coalesce(*[F.get_json_object(column, f"$.{n}") for n in names], F.lit(default))
+
+
+def write_embedding(coordinates: DataFrame, path: str, metadata: dict, colours: DataFrame | None = None, ident: str = "i") -> None:
+    """Coordinates with a colour_<name> column for each of the colours, and metadata. Colours for other rows than the coordinates' are an error."""
+    out = coordinates
+    if colours is not None:
+        named = colours.select(ident, *[F.col(c).alias(f"colour_{c}") for c in colours.columns if c != ident])
+        lacking = coordinates.select(ident).exceptAll(colours.select(ident)).count(), colours.select(ident).exceptAll(coordinates.select(ident)).count()
+        if any(lacking):
+            raise ValueError(f"{lacking[0]} rows have no colour, {lacking[1]} colours no row")
+        out = coordinates.join(named, ident)
+    write_dataset(out, path, metadata)
+
+
+def read_embedding(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], dict | None]:
+    """(rows, names of the colours, metadata)."""
+    rows = spark.read.parquet(f"{path}/data")
+    return rows, [c.removeprefix("colour_") for c in rows.columns if c.startswith("colour_")], read_metadata(spark, path)
+
+
+def template_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A one-row table as one JSON text."""
+    row.select(F.to_json(F.struct(*row.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def validation_keys(keys: DataFrame, key: str, saved: DataFrame | None, share: float = 0.15, seed: int = 0) -> tuple[DataFrame, bool]:
+    """(keys of the validation split, stale): those that were saved with the number of keys then (key, n_total), or the split made anew as
+    it is made for training. stale: the number of keys has changed since."""
+    from cadenza.operators.statistics import split_by_key
+
+    if saved is None:
+        return split_by_key(keys, key, share, seed).where("role = 'val'").select(key), False
+    total = keys.select(key).distinct().count()
+    then = saved.agg(F.max("n_total").alias("n")).first()["n"]
+    return keys.select(key).distinct().join(saved.select(key), key, "left_semi"), then is not None and then != total
+
+
+def with_beats(stats: DataFrame, beats: str = "n_beats", least: int = 2) -> DataFrame:
+    """Recordings of which enough beats were found."""
+    return stats.where(F.col(beats) >= least)
