@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one for each application only where it is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one for each application only where it is unset and the master is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -40,7 +43,44 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return _named(spark.read.schema(df.schema).parquet(path), path)
+
+
+#: What written() and bucketed() have made and nothing has dropped: folders, and the tables' names (None: no table).
+_made: dict[str, str | None] = {}
+
+
+def _named(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    _made[path] = name
+    df.written_at = path
+    return df
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what written() or bucketed() made for these; what is computed from them must have been written."""
+    for df in frames:
+        name = _made.pop(df.written_at, None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(df.sparkSession, df.written_at)
+
+
+def made() -> set[str]:
+    return set(_made)
+
+
+def drop_since(spark: SparkSession, before: set[str]) -> None:
+    """Deletes all that was made since before = made(); for use once a result is written."""
+    for path in made() - before:
+        name = _made.pop(path)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def text_key(text: str = "text") -> list:
@@ -63,6 +103,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     name = f"t_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     release(spark)
-    return spark.table(name)
+    return _named(spark.table(name), path, name)

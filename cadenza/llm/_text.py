@@ -117,6 +117,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, keep: bool =
     give_back()
 
 
+def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hash of each of some spans in rising order, as Rolling gives it; memory is bounded by `most` bytes or the longest span."""
+    if len(data) <= 2 * most:
+        return Rolling(data).of(starts, ends)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, side="right")))
+        low = int(starts[at])
+        out[at:to] = Rolling(data[low : int(ends[to - 1])]).of(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of each text, and where each text's words begin (length texts + 1)."""
     inside = table[data]
@@ -159,7 +172,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
     """Boolean mask of the places that some [start, start + length) covers."""
-    change = np.zeros(total + 1, np.int64)
+    change = np.zeros(total + 1, np.int32)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + lengths, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], out=change[:-1]) > 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, table, text_key, written
+from cadenza.llm._io import bucketed, drop, table, text_key, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,7 +36,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-grams, offsets): a text of fewer words is one n-gram, one without words has none."""
     data, offsets = T.buffers(texts)
     starts, ends, first = T.words(data, offsets, T.WORD_UNCHANGED)
-    rolling = T.steps(T.Rolling(data).of(starts, ends))
+    rolling = T.steps(T.spans_hashed(data, starts, ends))
     n = np.diff(first)
     grams = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     begin = T.ranges(first[:-1], grams)
@@ -215,14 +215,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     while True:
-        passed = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        nearer = labels.join(passed, "node").select("node", "root", F.least("root", "near").alias("next"))
+        passed = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        nearer = labels.select("node", "root").join(passed, "node").select("node", "root", F.least("root", "near").alias("next"))
         hop = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         step = written(nearer.join(hop, "next", "left").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("far", "next")).alias("root")))
-        changed = not step.where(F.col("old") != F.col("root")).isEmpty()
-        labels = step.select("node", "root")
-        if not changed:
-            return labels
+        drop(labels)
+        labels = step
+        if step.where(F.col("old") != F.col("root")).isEmpty():
+            drop(both)
+            return labels.select("node", "root")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -235,10 +236,14 @@ def _blocks(members: DataFrame) -> DataFrame:
     home = written(members.groupBy(*keys).agg(F.max(F.struct("n", "bucket")).alias("home")))
     for _ in range(2):
         largest = written(members.join(home, keys).groupBy("bucket").agg(F.max("home").alias("home")))
+        drop(home)
         home = written(members.join(largest, "bucket").groupBy(*keys).agg(F.max("home").alias("home")))
+        drop(largest)
     sizes = written(home.groupBy("home.bucket").agg(F.count(F.lit(1)).alias("size")))
     part = F.pmod(F.xxhash64(*keys), F.ceil(F.col("size") / BLOCK))
-    return written(home.select(*keys, "home.bucket").join(sizes, "bucket").select(*keys, F.xxhash64("bucket", part).alias("block")))
+    out = written(home.select(*keys, "home.bucket").join(sizes, "bucket").select(*keys, F.xxhash64("bucket", part).alias("block")))
+    drop(home, sizes)
+    return out
 
 
 def link_texts(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -248,8 +253,10 @@ def link_texts(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     bands = written(texts.mapInArrow(_band_rows(words), "key_a long, key_b long, bucket long"))
     shared = written(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = written(bands.join(shared, "bucket"))
+    drop(bands, shared)
     blocks = _blocks(members)
     cells = written(members.join(blocks, ["key_a", "key_b"]).select("bucket", "block").distinct())
+    drop(members)
     one, two = cells.withColumnRenamed("block", "one"), cells.withColumnRenamed("block", "two")
     pairs = written(one.join(two, "bucket").where("one <= two").select("one", "two").distinct())
     nodes = written(texts.join(blocks, ["key_a", "key_b"]).select("key_a", "key_b", "text", "block").mapInArrow(_node_rows(words), "key_a long, key_b long, block long, values binary, set binary"))
@@ -257,7 +264,9 @@ def link_texts(texts: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     right = nodes.join(pairs.where("one != two"), nodes["block"] == pairs["two"]).withColumn("side", F.lit(1))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = left.unionByName(right).drop("block").repartition(n, "one", "two").sortWithinPartitions("one", "two")
-    return written(work.mapInArrow(_compare_all(threshold), "key_a long, key_b long, links long, other_a long, other_b long"))
+    found = written(work.mapInArrow(_compare_all(threshold), "key_a long, key_b long, links long, other_a long, other_b long"))
+    drop(blocks, cells, pairs, nodes)
+    return found
 
 
 def _by_text(docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -303,4 +312,5 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near copies at 0.8 on 5-word sets, and its text's links and copies."""
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

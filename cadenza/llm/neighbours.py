@@ -99,6 +99,8 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own. Lists are cut
     into blocks of candidates and of queries, so neither a list of most vectors nor a growing query set overloads a task.
+    Null, zero and non-finite vectors take no part; of vectors of several lengths those of the most frequent one do. Equal rows of one
+    id count once; other columns don't matter; an empty table gives no row.
     """
     spark = vectors.sparkSession
     result = "query_id long, vec_id long, score double"
@@ -146,4 +148,5 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest by cosine of every vector whose vec_id is divisible by 50."""
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -105,7 +105,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, end: i
     (a count for each worker and class, summed up), and k neighbours of class k make a sequence. The fewer than k
     pieces that a class has over are bounded by the capacity alone, whatever the corpus: less than one sequence for each of
     at most 2*sqrt(capacity) classes. They are packed together by first fit.
-    A null text is empty: its only id is the end id. Equal rows each get their own pieces.
+    A null or empty text has only the end id. Equal rows each get their own pieces. A text longer than the capacity fills whole
+    sequences first; other columns don't matter; an empty table gives no row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long" + ", ids array<int>" * with_ids
@@ -129,4 +130,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, end: i
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"), with_ids=False)

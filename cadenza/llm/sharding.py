@@ -66,7 +66,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     """One row a document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     Equal texts are linked; a null text counts as empty. Shards' numbers of rows differ by one at most. Slots run from 0
-    without a gap in each shard. Groups larger than a shard spread over as few as can hold them.
+    without a gap in each shard. Groups larger than a shard spread over as few as can hold them. Repeated rows are members like others;
+    only hashes and sizes of texts move, so their length doesn't matter; other columns neither; an empty table gives no row.
     """
     if not docs.columns:
         raise ValueError("no columns")
@@ -112,4 +113,5 @@ def _level(rows: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def op4_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its place there; equal texts are linked."""
     return assign(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 from cadenza.llm import decontamination, language, near_duplicates, packing, suffix_array
-from cadenza.llm._io import shared_dir, table
+from cadenza.llm._io import delete, drop_since, made, shared_dir, table
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+        path, kept = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}", made()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_since(spark, kept)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
