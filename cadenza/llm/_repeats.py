@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import written
+from cadenza.llm._io import drop, written
 
 #: (segments' units end to end, segment offsets, weights, window size) -> repeated windows, a flag at each window start
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -41,13 +41,17 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64))
 
 
-def _units(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray, T.Rolling, tuple]:
-    """(bytes, offsets of texts in units, rolling hash over units, (starts, ends) of units in bytes)."""
+def _units(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(units, offsets of texts in units): bytes, or hashes of words."""
     data, offsets = T.buffers(batch.column(batch.schema.get_field_index("text")))
     if not words:
-        return data, offsets, T.Rolling(data), (None, None)
+        return data, offsets
     starts, ends, at = T.words(data, offsets, T.WORD_UNCHANGED)
-    return data, at, T.steps(T.Rolling(data).of(starts, ends)), (starts, ends)
+    return T.spans_hashed(data, starts, ends), at
+
+
+#: Units of a very long text that are looked at together; pieces overlap by a window less one unit.
+PIECE = 1 << 20
 
 
 def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -57,34 +61,43 @@ def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordB
     window, and the window behind that slice holds the hash again.
     """
 
+    def rows(batch: pa.RecordBatch, units: np.ndarray, at: np.ndarray, shift: int) -> pa.RecordBatch | None:
+        rolling = T.steps(units)
+        slices = rolling.windows(gram)
+        smallest = T.sliding_min(slices, size - gram + 1)
+        again = np.zeros(len(smallest) + 1, np.int64)
+        if len(smallest) > 1:
+            np.cumsum((slices[: len(smallest) - 1] == smallest[:-1]) & (smallest[1:] == smallest[:-1]), out=again[1:-1])
+            again[-1] = again[-2]
+        lengths = np.maximum(0, np.diff(at) - size + 1)
+        index = T.ranges(at[:-1], lengths)
+        if not len(index):
+            return None
+        anchors = smallest[index]
+        fresh = np.ones(len(index), bool)
+        fresh[1:] = (anchors[1:] != anchors[:-1]) | (np.diff(index) != 1)
+        first = np.flatnonzero(fresh)
+        place = np.arange(len(index)) - np.repeat(first, np.diff(np.append(first, len(index))))
+        first = np.flatnonzero(fresh | (place % (size - gram + 1) == 0))
+        n = np.diff(np.append(first, len(index)))
+        begin = index[first]
+        text = np.repeat(np.arange(batch.num_rows), lengths)[first]
+        pick = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(text))
+        return pa.RecordBatch.from_arrays(
+            [pick("key_a"), pick("key_b"), pa.array((begin - at[text] + shift).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), _long(rolling.of(begin, begin + n + size - 1)), pick("copies"), pa.array((again[begin + n] > again[begin]).astype(np.int64))],
+            names=["key_a", "key_b", "start", "n", "anchor", "seg", "copies", "own"],
+        )
+
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
-                _, at, rolling, _ = _units(batch, words)
-                slices = rolling.windows(gram)
-                smallest = T.sliding_min(slices, size - gram + 1)
-                again = np.zeros(len(smallest) + 1, np.int64)
-                if len(smallest) > 1:
-                    np.cumsum((slices[: len(smallest) - 1] == smallest[:-1]) & (smallest[1:] == smallest[:-1]), out=again[1:-1])
-                    again[-1] = again[-2]
-                lengths = np.maximum(0, np.diff(at) - size + 1)
-                index = T.ranges(at[:-1], lengths)
-                if not len(index):
-                    continue
-                anchors = smallest[index]
-                fresh = np.ones(len(index), bool)
-                fresh[1:] = (anchors[1:] != anchors[:-1]) | (np.diff(index) != 1)
-                first = np.flatnonzero(fresh)
-                place = np.arange(len(index)) - np.repeat(first, np.diff(np.append(first, len(index))))
-                first = np.flatnonzero(fresh | (place % (size - gram + 1) == 0))
-                n = np.diff(np.append(first, len(index)))
-                begin = index[first]
-                text = np.repeat(np.arange(batch.num_rows), lengths)[first]
-                pick = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(text))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pick("key_a"), pick("key_b"), pa.array((begin - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), _long(rolling.of(begin, begin + n + size - 1)), pick("copies"), pa.array((again[begin + n] > again[begin]).astype(np.int64))],
-                    names=["key_a", "key_b", "start", "n", "anchor", "seg", "copies", "own"],
-                )
+                units, at = _units(batch, words)
+                step = len(units) if batch.num_rows > 1 else PIECE  # only a text alone is longer than a slice
+                for low in range(0, len(units), max(1, step)):
+                    part = units[low : low + step + size - 1]
+                    found = rows(batch, part, at if batch.num_rows > 1 else np.array([0, len(part)]), low)
+                    if found is not None:
+                        yield found
 
     return run
 
@@ -95,17 +108,15 @@ def _contents(size: int, words: bool):
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
-                data, at, _, (starts, ends) = _units(batch, words)
+                values, at = _units(batch, words)
                 asked = batch.column(batch.schema.get_field_index("asked"))
                 text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
                 rows = asked.flatten()
                 begin = at[text] + rows.field("start").to_numpy()
                 n = rows.field("n").to_numpy()
+                lo, hi = begin, begin + n + size - 1
                 if words:
-                    values = T.Rolling(data).of(starts, ends).view(np.uint8)
-                    lo, hi = begin * 8, (begin + n + size - 1) * 8
-                else:
-                    values, lo, hi = data, begin, begin + n + size - 1
+                    values, lo, hi = values.view(np.uint8), lo * 8, hi * 8
                 offsets = np.zeros(len(lo) + 1, np.int32)
                 np.cumsum(hi - lo, out=offsets[1:])
                 units = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values[T.ranges(lo, hi - lo)]))])
@@ -233,15 +244,17 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     texts: (key_a, key_b, text, copies), one row for each different text. kernel_on_copies: whether segments that have exact
     copies and no other neighbour go through the kernel as well; else equality settles them.
     """
-    places = texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long, own long")
+    places = written(texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long, own long"))
     place = F.xxhash64("key_a", "key_b", "start")
     repeated = written(places.groupBy("anchor").agg(F.sum(F.col("copies") + F.col("own")).alias("uses")).where("uses > 1").select("anchor"))
     candidates = written(places.join(repeated, "anchor"))
+    drop(places, repeated)
     kinds = candidates.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(place).alias("first"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     salted = anchors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     wanted = written(kinds.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
     flagged = written(candidates.drop("copies", "own").join(wanted, ["anchor", "seg"]))
+    drop(candidates)
     alone = F.lit(False) if kernel_on_copies else (F.col("kinds") == 1) & (F.col("weight") > 1)
     whole = flagged.where(alone).select("key_a", "key_b", "start", F.col("n").alias("length"))
     rest = flagged.where(~alone)
@@ -257,5 +270,7 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     answers = cold
     if not wanted.where(F.col("kinds") > most).isEmpty():
         answers = cold.unionByName(_count_hot(give(lambda kinds: kinds > most), size, words))
-    found = rest.select("key_a", "key_b", "start", "anchor", "seg").join(written(answers), ["anchor", "seg"]).select("key_a", "key_b", (F.col("start") + F.col("begin")).alias("start"), "length")
+    answers = written(answers)
+    drop(wanted)
+    found = rest.select("key_a", "key_b", "start", "anchor", "seg").join(answers, ["anchor", "seg"]).select("key_a", "key_b", (F.col("start") + F.col("begin")).alias("start"), "length")
     return whole.unionByName(found).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
 from cadenza.llm._io import bucketed, distinct_texts, table, text_key
-from cadenza.llm._repeats import repeated_spans, stretches
+from cadenza.llm._repeats import repeated_spans
 
 SIZE = 35
 GRAM = 16
@@ -99,21 +99,19 @@ class SuffixAutomaton:
 
 
 def repeated_windows(units: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """Flags of the window starts in a shard's word hashes whose `size` words have another place."""
+    """Flags of the window starts in a shard's word hashes whose `size` words have another place.
+
+    The shard's automaton is built from all of its passages, which then stream through it; nothing else decides.
+    """
     flags = np.zeros(len(units), bool)
-    found = stretches(units, offsets, weights, size)
-    if found is None:
-        return flags
-    first, last, one, which, weight = found
     _, symbols = np.unique(units, return_inverse=True)
-    sequences = [symbols[a:b].tolist() for a, b in zip(first[one], last[one], strict=True)]
+    sequences = [symbols[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     automaton = SuffixAutomaton()
     for sequence in sequences:
         automaton.add(sequence)
-    automaton.count(sequences, weight.tolist())
-    answers = [np.array(automaton.repeated(sequence, size)[size - 1 :], bool) for sequence in sequences]
-    for at, content in zip(first.tolist(), which.tolist(), strict=True):
-        flags[at : at + len(answers[content])] |= answers[content]
+    automaton.count(sequences, weights.tolist())
+    for at, sequence in zip(offsets.tolist(), sequences, strict=False):
+        flags[at : at + max(0, len(sequence) - size + 1)] = automaton.repeated(sequence, size)[size - 1 :]
     return flags
 
 
@@ -152,7 +150,8 @@ def _digest(size: int):
 
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256. A null text has no words."""
+    """One row a document: doc_id, n_words, n_removed, kept_sha256. A null text has no words; repeated rows of one doc_id each give
+    a row and count as places; an empty table gives none. Very long texts are hashed in pieces and never cut. Other columns don't matter."""
     texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     found = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"], "left")
     by_text = found.mapInArrow(_digest(size), "key_a long, key_b long, n_words long, n_removed long, kept_sha256 string")
@@ -188,4 +187,8 @@ def without_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, those in passages of 35 words that occur twice, and a digest of the rest.
+
+    Null, empty and short texts have nothing to remove; equal rows are places of their own; an empty table gives none.
+    """
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
