@@ -19,37 +19,57 @@ _BITS = 20
 
 
 class Index:
-    """Windows of some benchmark items: sorted hashes, and behind each the window's words and its items."""
+    """Windows of some benchmark items as flat arrays: sorted hashes, each window's place in one byte buffer, and its items.
+
+    Windows of one size with the same hash and the same words are one entry; equal hashes of different words are neighbours.
+    A part of PART_BYTES takes about eight times its bytes.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.ids = sorted({str(i) for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.ids)}
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-        for item, text in items:
-            data, offsets = T.buffers(pa.array([text or ""]))
-            data = T.LOWER_AZ[data]
-            starts, ends, _ = T.words(data, offsets, T.WORD_ALNUM)
-            if not len(starts):
-                continue
-            size = min(window, len(starts))
-            hashes = T.steps(T.Rolling(data).of(starts, ends)).windows(size)
-            raw = data.tobytes()
-            spelled = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for k, h in enumerate(hashes.tolist()):
-                owners = found.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(spelled[k : k + size]), set())
-                if item is not None:
-                    owners.add(number[str(item)])
-        self.windows = found
-        self.hashes = {size: np.sort(np.fromiter(by, np.uint64, len(by))) for size, by in found.items()}
+        data, offsets = T.buffers(pa.array([text or "" for _, text in items], pa.large_string()))
+        self.data = T.LOWER_AZ[data]
+        starts, ends, first = T.words(self.data, offsets, T.WORD_ALNUM)
+        owner = np.array([-1 if i is None else number[str(i)] for i, _ in items], np.int32)
+        hashed = T.steps(T.spans_hashed(self.data, starts, ends))
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        n = np.diff(first)
+        self.sizes: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in np.unique(np.minimum(n[n > 0], window)).tolist():
+            which = np.flatnonzero(np.minimum(n, window) == size)
+            at = T.ranges(first[which], n[which] - size + 1)
+            item = np.repeat(owner[which], n[which] - size + 1)
+            hashes = hashed.of(at, at + size)
+            order = np.argsort(hashes, kind="stable")
+            hashes, at, item = hashes[order], at[order], item[order]
+            entry = np.ones(len(hashes), bool)
+            again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+            entry[again] = [self._spelled(a, size) != self._spelled(b, size) for a, b in zip(at[again - 1].tolist(), at[again].tolist(), strict=True)]
+            place = np.flatnonzero(entry)
+            self.sizes[size] = (hashes[place], at[place].astype(np.int32), np.append(place, len(hashes)).astype(np.int32), item)
+
+    def _spelled(self, at: int, size: int) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[at : at + size].tolist(), self.ends[at : at + size].tolist(), strict=True)]
 
     def candidates(self, size: int, hashes: np.ndarray) -> np.ndarray:
-        own = self.hashes[size]
+        own = self.sizes[size][0]
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(own >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         at = np.flatnonzero(bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         near = np.minimum(np.searchsorted(own, hashes[at]), len(own) - 1)
         return at[own[near] == hashes[at]]
 
+    def items(self, size: int, h: np.uint64, spelled: list[bytes]) -> np.ndarray | None:
+        """Items of the window with these words (-1: one without an id); None if there is none."""
+        hashes, at, place, item = self.sizes[size]
+        k, found = int(np.searchsorted(hashes, h)), []
+        while k < len(hashes) and hashes[k] == h:
+            if self._spelled(int(at[k]), size) == spelled:
+                found.append(item[place[k] : place[k + 1]])
+            k += 1
+        return np.concatenate(found) if found else None
+
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[int]]]:
     """(word starts, word ends, first word of each text, hit words, items by text), every hit checked word by word."""
@@ -58,18 +78,18 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     hit = np.zeros(len(starts), bool)
     items: dict[int, set[int]] = {}
     if len(starts):
-        rolling = T.steps(T.Rolling(data).of(starts, ends))
-        for size in index.hashes:
+        rolling = T.steps(T.spans_hashed(data, starts, ends))
+        for size in index.sizes:
             hashes = rolling.windows(size)
             for at in index.candidates(size, hashes).tolist():
                 text = int(np.searchsorted(first, at, side="right")) - 1
                 if at + size > first[text + 1]:
                     continue
-                spelled = b" ".join(data[a:b].tobytes() for a, b in zip(starts[at : at + size].tolist(), ends[at : at + size].tolist(), strict=True))
-                owners = index.windows[size][int(hashes[at])].get(spelled)
+                spelled = [data[a:b].tobytes() for a, b in zip(starts[at : at + size].tolist(), ends[at : at + size].tolist(), strict=True)]
+                owners = index.items(size, hashes[at], spelled)
                 if owners is not None:
                     hit[at : at + size] = True
-                    items.setdefault(text, set()).update(owners)
+                    items.setdefault(text, set()).update(k for k in np.unique(owners).tolist() if k >= 0)
     return starts, ends, first, hit, items
 
 
@@ -138,7 +158,8 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z in lower case. Null texts have none, so a
-    null item hits nothing; an item without an id hits words and counts as no item; items of one id count once.
+    null item hits nothing; an item without an id hits words and counts as no item; items of one id count once. Repeated rows each
+    give a row; an empty table gives none, an empty benchmark no hit. Other columns don't matter.
     """
     parts = _parts(benchmark)
     if len(parts) == 1:
@@ -238,4 +259,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, those in windows of ten words of a benchmark item, and the items."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
