@@ -29,6 +29,27 @@ TEMPLATES = {
     "text-warranty": "(provided|distributed) [by {12}] [in the hope that it will be useful but] (as is|without) [and] [any] [express or implied] (warranty|warranties)",
     "notice-copyright": "copyright [c] {8} all rights reserved",
     "notice-spdx": "spdx license identifier {4}",
+    # whole licence texts; names of holders are replaceable, numbering and usual insertions optional
+    "license-mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+    " subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"
+    " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+    " in no event shall {12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "license-isc": "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    " the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+    " in no event shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+    " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "license-bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    " [[3] neither the name of {12} nor the names of {2} contributors may be used to endorse or promote products derived from this software without specific prior written permission]"
+    " this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption"
+    " however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "license-zlib": "this software is provided as is without any express or implied warranty in no event will {6} be held liable for any damages arising from the use of this software"
+    " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+    " [1] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"
+    " [2] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [3] this notice may not be removed or altered from any source distribution",
 }
 
 
@@ -172,7 +193,7 @@ class Scanner:
     def word_codes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """0 for words of no template; a word's letters are compared, not only its hash."""
         out = np.zeros(len(starts), np.int32)
-        hashes = T.Rolling(data).of(starts, ends)
+        hashes = T.spans_hashed(data, starts, ends)
         at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(48)).astype(np.int64)])
         near = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
         same = self.hashes[near] == hashes[at]
@@ -241,7 +262,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
 
     A-Z count as lower case; words are runs of ASCII letters and digits and of anything beyond ASCII. n_base counts all places of
     the fixed phrases; labels adds those of accepted templates; score is the share of words that any of them covers; spans are all
-    accepted places (start and length in words, label). A null or empty text has no words, no labels and score 0. One pass, no shuffle.
+    accepted places (start and length in words, label). A null or empty text has no words, no labels and score 0. Repeated rows each
+    give a row; very long texts are scanned whole; other columns don't matter; an empty table gives none. One pass, no shuffle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -258,4 +280,5 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
 
 
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed phrases and licence templates in every document."""
     return scan(table(spark, sf_dir, "documents")).drop("spans")

@@ -42,6 +42,34 @@ def test_labels(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_texts(spark):
+    """Replaceable and optional regions may differ; one other mandatory word is no match."""
+    texts = [MIT, MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "SOME COMPANY INC"), MIT.replace("this permission notice", "this permission notice (including the next paragraph)"), MIT.replace("sublicense", "relicense"), "x " * 300 + MIT]
+    rows = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert ["license-mit" in rows[i].labels for i in range(5)] == [True, True, True, False, True]
+    assert all("text-mit" in rows[i].labels for i in range(5)) and rows[0].score == 1.0
+    for label, markup in L.TEMPLATES.items():
+        codes = {w: i + 1 for i, w in enumerate(sorted(set(L.re.findall(r"[a-z0-9]+", markup))))}
+        shortest = [codes[w] for w in min((a for a in [least(L.parse(markup))]), key=len) if w != "?"]
+        assert L.TokenAutomaton(markup, codes).longest(shortest) == len(shortest), label
+
+
+def least(sequence):
+    """The shortest word list that a parsed template accepts."""
+    out = []
+    for kind, what in sequence:
+        out += [what] if kind == "word" else [] if kind == "any" else min((least(choice) for choice in what), key=len)
+    return out
+
+
 def alternatives(sequence):
     """All word lists that a parsed template accepts, with ? for a replaceable word."""
     out = [[]]
