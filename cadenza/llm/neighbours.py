@@ -13,8 +13,11 @@ K = 5
 EVERY = 50
 #: Rows that centroids are fitted on, at most about; every row is put into a list.
 SAMPLE = 20_000
-#: Share of the lists that a query probes. Vectors without clusters need most of them for a recall of 0.9 and more.
-PROBE = 0.7
+#: Share of the true neighbours whose lists a query probes. How many lists that takes is learned from the sample: vectors in clusters need
+#: few, vectors without clusters most of them.
+REACH = 0.97
+#: Rows of the sample that this is learned from.
+TRIALS = 512
 #: Dimensions of a column block, and how far from its expectation a partial distance must be to give a candidate up.
 COLUMNS, EPSILON = 16, 2.1
 #: Candidates, and queries, that one group of the search holds at most.
@@ -39,11 +42,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit(rows: DataFrame, n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(rotation, centroids in rotated space) from a sample bounded by SAMPLE; about sqrt(n)/2 lists, 1024 at most."""
+def fit(rows: DataFrame, n: int, k: int = K, reach: float = REACH, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rotation, centroids in rotated space, lists to probe) from a sample bounded by SAMPLE; about sqrt(n)/2 lists, 1024 at most.
+
+    For some rows of the sample their k nearest others in it are found by brute force; the probed lists are as many of the nearest ones as
+    hold the share `reach` of these. True neighbours are nearer still, so they lie in no more lists.
+    """
     share = min(1.0, SAMPLE / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else rows
-    sample = np.array([r["vector"] for r in picked.select("vector").collect()], float)
+    sample = np.array([r["vector"] for r in picked.orderBy("vec_id").select("vector").collect()], float)
     random = np.random.default_rng(seed)
     size = sample.shape[1]
     rotation = np.linalg.qr(random.normal(size=(size, size)))[0]
@@ -56,7 +63,22 @@ def fit(rows: DataFrame, n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]
         np.add.at(sums, near, x)
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
-    return rotation, centroids
+    kinds = np.unique(x.round(12), axis=0)  # copies would make the search look easier than it is
+    return rotation, centroids, _probes(kinds, centroids, random.permutation(len(kinds))[:TRIALS], k, reach)
+
+
+def _probes(x: np.ndarray, centroids: np.ndarray, trials: np.ndarray, k: int, reach: float) -> int:
+    """Lists that hold the share `reach` of the k nearest others of the rows `trials`."""
+    own = np.argmax(x @ centroids.T, axis=1)
+    places = []
+    for i in trials:
+        near = x @ x[i]
+        near[i] = -np.inf
+        best = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
+        order = np.empty(len(centroids), np.int64)
+        order[np.argsort(-(centroids @ x[i]), kind="stable")] = np.arange(len(centroids))
+        places += order[own[best]].tolist()
+    return int(np.quantile(places, reach, method="higher")) + 1 if places else 1
 
 
 def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -94,7 +116,7 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
     return numbers, found, scores
 
 
-def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding", every: int = EVERY, k: int = K, probe: float = PROBE) -> DataFrame:
+def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding", every: int = EVERY, k: int = K, reach: float = REACH) -> DataFrame:
     """Each query's k nearest: query_id, rank (from 1), vec_id, score (cosine in double precision), ties to the smaller vec_id.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own. Lists are cut
@@ -108,9 +130,9 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(fit(rows, n))
-    lists = len(shared.value[1])
-    probes = max(1, min(lists, int(np.ceil(probe * lists))))
+    rotation, centroids, probes = fit(rows, n, k, reach)
+    shared = spark.sparkContext.broadcast((rotation, centroids))
+    lists = len(centroids)
 
     def put(batches):
         rotation, centroids = shared.value
@@ -128,7 +150,7 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
     blocks = F.create_map(*[F.lit(x) for c, size in sizes.items() for x in (c, -(-size // BLOCK))])
     queries = rows.where(F.col("vec_id") % every == 0)
-    rounds = max(1, -(-int(queries.count() * probe) // BLOCK))
+    rounds = max(1, -(-(queries.count() * probes // lists) // BLOCK))
     asked = queries.mapInPandas(ask, "vec_id long, vector array<double>, lists array<int>").select(F.col("vec_id").alias("query_id"), "vector", F.explode("lists").alias("list"), F.pmod(F.xxhash64("vec_id"), F.lit(rounds)).cast("int").alias("part"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(blocks, F.col("list")), F.lit(1)) - 1)))
     offered = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("list"))).cast("int")).withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(rounds)])))

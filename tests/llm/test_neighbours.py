@@ -56,3 +56,25 @@ def test_odd_vectors(spark):
     assert [j for j, _ in found[0]] == [100, 1, 7] and set(found) == {0, 100}
     assert N.nearest(e.where("false")).count() == 0
     assert got(N.nearest(e.where("vec_id = 0"))) == {}
+
+
+def test_clusters_need_few_lists(spark):
+    """Recall holds with and without clusters; the lists that are probed are learned, copies and all."""
+    r = np.random.default_rng(6)
+    plain = r.normal(size=(2500, 24))
+    centres = r.normal(size=(40, 24)) * 6
+    grouped = centres[r.integers(0, 40, 2500)] + r.normal(size=(2500, 24))
+    grouped[:900] = grouped[0]
+    shares = []
+    for x in (plain, grouped):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        _, centroids, probes = N.fit(N.usable(e, "vec_id", "embedding"), len(rows))
+        shares.append(probes / len(centroids))
+        assert recall(got(N.nearest(e)), brute(rows, 50, 5)) >= 0.9
+    assert shares[1] < 0.4 < shares[0]
+
+
+def test_repeated_rows(spark):
+    e = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    assert [(i, j) for i, rows in got(N.nearest(e)).items() for j, _ in rows] == [(0, 1)]
