@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import table
+from cadenza.llm._io import drop, table, written
 
 ORDER = 3
 #: A context of full length stands in the trees from this many occurrences on; rarer ones use the shorter context.
 LEAST = 24
+#: Contexts of two bytes, and of three, that the trees hold at most: the most frequent ones. They bound the model, not what is counted.
+CONTEXTS = 1 << 16
+#: Code lengths that the model tabulates at most; many languages leave room for fewer contexts.
+CELLS = 1 << 27
+#: Bytes whose code lengths are looked up together.
+CHUNK = 1 << 20
 UNKNOWN = "und"
 
 
@@ -87,41 +93,50 @@ def build(rows: list[tuple[str, int, int]], least: int = LEAST) -> Model:
     """The frozen trees from (language, gram, count) rows."""
     languages = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(languages)}
-    return _trees(languages, np.array([number[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), least)
+    lang, gram, n = np.array([number[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    context, at = np.unique(gram >> 8, return_inverse=True)
+    often = (np.bincount(at, n) >= least)[at]
+    return _trees(languages, (lang, gram & 0xFFFFFF, n), (lang[often], gram[often], n[often]))
 
 
-def _trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int) -> Model:
+def _trees(languages: list[str], short: tuple[np.ndarray, ...], long: tuple[np.ndarray, ...]) -> Model:
+    """short: (language, gram of three bytes, count) of all grams; long: the same with four bytes, of the contexts that the trees hold."""
+    lang, gram, n = short
     seen = np.unique(gram & 0xFF)
     codes = np.zeros(256, np.int64)
     codes[seen] = np.arange(1, len(seen) + 1)
     symbols = len(seen) + 1
-    digits = [codes[gram >> shift & 0xFF] for shift in (24, 16, 8, 0)]
-    full = (digits[0] * symbols + digits[1]) * symbols + digits[2]
-    pair, one = digits[1] * symbols + digits[2], digits[2]
-    # contexts of the joint tree: all single bytes and pairs that occur, and frequent triples
-    totals = np.bincount(full, n, symbols**3)
-    triples = np.flatnonzero(totals >= least)
-    pairs = np.unique(np.concatenate([pair, triples % symbols**2]))
+    digits = [codes[gram >> shift & 0xFF] for shift in (16, 8, 0)]
+    pair, one = digits[0] * symbols + digits[1], digits[1]
+    full = (codes[long[1] >> 24 & 0xFF] * symbols + codes[long[1] >> 16 & 0xFF]) * symbols + codes[long[1] >> 8 & 0xFF]
+    last = codes[long[1] & 0xFF]
+    # contexts of the joint tree: all single bytes, the most frequent pairs, and triples whose pair is among them
+    room = max(1, min(CONTEXTS, CELLS // (2 * symbols * len(languages))))
+    totals = np.bincount(pair, n, symbols**2)
+    pairs = np.sort(np.argsort(-totals, kind="stable")[: min(room, int((totals > 0).sum()))])
+    triples, at = np.unique(full, return_inverse=True)
+    totals = np.bincount(at, long[2], len(triples)) if len(triples) else np.zeros(0)
+    totals[~np.isin(triples % symbols**2, pairs)] = 0
+    triples = np.sort(triples[np.argsort(-totals, kind="stable")[: min(room, int((totals > 0).sum()))]])
     tables = []
     for k in range(len(languages)):
         own = lang == k
 
-        def table_of(context, size, own=own):
-            return np.bincount(context[own] * symbols + digits[3][own], n[own], size * symbols).reshape(size, symbols)
+        def table_of(context, size, symbol, n):
+            return np.bincount(context * symbols + symbol, n, size * symbols).reshape(size, symbols)
 
-        zero = table_of(np.zeros_like(one), 1)
-        first = table_of(one, symbols)
-        at_pair = np.searchsorted(pairs, pair)
-        second = table_of(at_pair, len(pairs))
-        place = np.searchsorted(triples, full)
-        inside = own & (place < len(triples)) & (triples[np.minimum(place, max(0, len(triples) - 1))] == full if len(triples) else False)
-        third = table_of(place, len(triples), inside) if len(triples) else np.zeros((0, symbols))
+        zero = table_of(np.zeros_like(one[own]), 1, digits[2][own], n[own])
+        first = table_of(one[own], symbols, digits[2][own], n[own])
+        inside = own & np.isin(pair, pairs)
+        second = table_of(np.searchsorted(pairs, pair[inside]), len(pairs), digits[2][inside], n[inside])
+        inside = (long[0] == k) & np.isin(full, triples)
+        third = table_of(np.searchsorted(triples, full[inside]), len(triples), last[inside], long[2][inside]) if len(triples) else np.zeros((0, symbols))
         lengths = [_code_lengths([first, np.repeat(zero, symbols, axis=0)])]
         lengths.append(_code_lengths([second, first[pairs % symbols], np.repeat(zero, len(pairs), axis=0)]))
-        short = triples % symbols**2
-        lengths.append(_code_lengths([third, second[np.searchsorted(pairs, short)], first[short % symbols], np.repeat(zero, len(triples), axis=0)]))
-        tables.append(np.concatenate(lengths))
-    bits = np.stack(tables, axis=-1).astype(np.float32)
+        short_ = triples % symbols**2
+        lengths.append(_code_lengths([third, second[np.searchsorted(pairs, short_)], first[short_ % symbols], np.repeat(zero, len(triples), axis=0)]))
+        tables.append(np.concatenate(lengths).astype(np.float32))
+    bits = np.stack(tables, axis=-1)
     # the state of a full context: its triple, else its pair, else its last byte
     by_pair = np.tile(np.arange(symbols), symbols)
     by_pair[pairs] = symbols + np.arange(len(pairs))
@@ -133,18 +148,26 @@ def _trees(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarr
 def train(docs: DataFrame, least: int = LEAST) -> Model | None:
     """Learns from text and lang of all documents that aren't held out; None if there are none.
 
-    Grams are counted on the executors and merge in the map tasks. What reaches the driver is a count for each language and gram
-    of four bytes, as arrays.
+    Grams are counted on the executors and merge in the map tasks. What reaches the driver is bounded by the model: counts of grams of
+    three bytes, and of four behind the CONTEXTS most frequent contexts that occur `least` times or more.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    counts = usable.mapInArrow(_contexts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    if not counts.num_rows:
+    counts = written(usable.mapInArrow(_contexts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    context = F.shiftright("gram", 8).alias("context")
+    often = counts.groupBy(context).agg(F.sum("n").alias("uses")).where(F.col("uses") >= least).orderBy(F.desc("uses"), "context").limit(CONTEXTS)
+    short = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    if not short.num_rows:
         return None
-    coded = counts.column("lang").combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    languages = sorted(names)
-    number = np.array([languages.index(x) for x in names], np.int64)
-    return _trees(languages, number[coded.indices.to_numpy()], counts.column("gram").to_numpy(), counts.column("n").to_numpy(), least)
+    long = counts.join(often.select("context"), F.shiftright("gram", 8) == F.col("context"), "left_semi").toArrow()
+    drop(counts)
+    languages = sorted(set(short.column("lang").to_pylist()))
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+        coded = table.column("lang").combine_chunks().dictionary_encode()
+        number = np.array([languages.index(x) for x in coded.dictionary.to_pylist()], np.int64)
+        return number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64), table.column("gram").to_numpy(), table.column("n").to_numpy()
+
+    return _trees(languages, arrays(short), arrays(long))
 
 
 def score(model: Model, texts: pa.Array) -> np.ndarray:
@@ -153,11 +176,14 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), len(model.languages)))
     codes, at = _padded(model.codes[T.LOWER_AZ[data]], offsets)
     symbols = int(round(len(model.states) ** (1 / 3)))
-    wide = codes.astype(np.int32)
-    state = model.states[(wide[at - 3] * symbols + wide[at - 2]) * symbols + wide[at - 1]]
-    some = np.flatnonzero(np.diff(offsets))
-    if len(some):
-        out[some] = np.add.reduceat(model.bits[state * symbols + wide[at]], offsets[some], axis=0, dtype=np.float64)
+    for low in range(0, len(at), CHUNK):  # a chunk is all of a batch but for very long texts
+        part = at[low : low + CHUNK]
+        wide = codes[part[0] - 3 : part[-1] + 1].astype(np.int32)
+        part = part - (part[0] - 3)
+        state = model.states[(wide[part - 3] * symbols + wide[part - 2]) * symbols + wide[part - 1]]
+        edges = np.clip(offsets - low, 0, len(part))
+        some = np.flatnonzero(np.diff(edges))
+        out[some] += np.add.reduceat(model.bits[state * symbols + wide[part]], edges[some], axis=0, dtype=np.float64)
     return out
 
 
@@ -199,7 +225,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score."""
+    """One row a document: doc_id, held_out, lang_pred, score. Null languages teach nothing; repeated rows each give a row and teach
+    once each; of languages with equally long codes the first by name is taken; an empty table gives none."""
     marked = docs.withColumn("held_out", held_out())
     return predict(marked, train(docs), ["doc_id", "held_out"])
 
@@ -213,4 +240,5 @@ def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language by the shortest exact code, learned from documents that aren't held out."""
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
