@@ -46,21 +46,30 @@ def ranked(df: DataFrame, value: str, tie: str, name: str = "pos", cells: int =
     return dealt.withColumn("_place", place).join(F.broadcast(before), ["_cell", "_part"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_cell", "_part", "_place", "_before")
 
 
-def counted_below(df: DataFrame, value: str, name: str = "below", cells: int = CELLS) -> DataFrame:
-    """Adds how many rows have a smaller value. Equal values are counted first, so a frequent one is one row."""
-    kinds = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_same"))
-    return df.join(running(kinds, value, {name: "_same"}, cells).select(value, name), value)
+def counted_below(df: DataFrame, value: str, name: str = "below", by: list[str] | None = None, same: str | None = None, cells: int = CELLS) -> DataFrame:
+    """Adds how many rows (of the row's group) have a smaller value, and as `same` how many have this one. Equal values are counted first, so
+    a frequent one is one row. Rows without a value go."""
+    by = by or []
+    kinds = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_same"))
+    found = running(kinds, value, {name: "_same"}, by, cells).select(*by, value, name, *([F.col("_same").alias(same)] if same else []))
+    return df.join(found, [*by, value])
 
 
-def running(df: DataFrame, value: str, sums: dict[str, str], cells: int = CELLS) -> DataFrame:
-    """Adds, for each name, the sum of its column over all rows of smaller value; values must be distinct."""
+def mean_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Adds the 1-based rank (in the row's group), ties at their mean."""
+    return counted_below(df, value, "_below", by, "_ties").withColumn(name, F.col("_below") + (F.col("_ties") + 1) / 2).drop("_below", "_ties")
+
+
+def running(df: DataFrame, value: str, sums: dict[str, str], by: list[str] | None = None, cells: int = CELLS) -> DataFrame:
+    """Adds, for each name, the sum of its column over all rows (of the row's group) of smaller value; a group's values must be distinct."""
+    by = by or []
     bounds = _bounds(df.select(value), value, df.count(), cells)
     dealt = df.withColumn("_cell", _cell(value, bounds))
-    order = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_cell").agg(*[F.sum(c).alias(f"_o{i}") for i, c in enumerate(sums.values())])  # at most 2 * cells rows
-    offsets = offsets.select("_cell", *[F.coalesce(F.sum(f"_o{i}").over(order), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
-    inside = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.withColumns({f"_s{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(sums.values())}).join(F.broadcast(offsets), "_cell")
+    order = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_o{i}") for i, c in enumerate(sums.values())])  # at most 2 * cells rows a group
+    offsets = offsets.select(*by, "_cell", *[F.coalesce(F.sum(f"_o{i}").over(order), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumns({f"_s{i}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for i, c in enumerate(sums.values())}).join(offsets, [*by, "_cell"])
     return summed.withColumns({name: F.col(f"_b{i}") + F.col(f"_s{i}") for i, name in enumerate(sums)}).drop("_cell", *[f"_{x}{i}" for x in "bs" for i in range(len(sums))])
 
 

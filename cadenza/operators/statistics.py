@@ -60,17 +60,11 @@ def equal_count_trend(df: DataFrame, x: str, y: str, tie: str, bins: int = 12) -
     return placed.groupBy("bin").agg(n.alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.when(n > 1, F.stddev_samp(y) / F.sqrt(n)).otherwise(0.0).alias("se"))
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*(by or [])).orderBy(value)
-    same = Window.partitionBy(*(by or []), value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
-
-
 def relation(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by.., n, pearson, spearman, slope, intercept)."""
     by = by or []
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = R.mean_rank(R.mean_rank(rows, x, "_rx", by), y, "_ry", by)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
@@ -88,14 +82,11 @@ def two_sample_ks(a: DataFrame, b: DataFrame, value: str, by: list[str] | None =
     by = by or []
     both = a.select(*by, F.col(value).alias("_v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*by, F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))).where(F.col("_v").isNotNull())
     steps = both.groupBy(*by, "_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    if not by:
-        whole = steps.agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
-        gap = F.abs((F.col("_below_a") + F.col("_a")) / F.col("n_a") - (F.col("_below_b") + F.col("_b")) / F.col("n_b"))
-        return R.running(steps, "_v", {"_below_a": "_a", "_below_b": "_b"}).crossJoin(F.broadcast(whole)).agg(F.max(gap).alias("d"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    run = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("_a").over(run) / F.sum("_a").over(whole) - F.sum("_b").over(run) / F.sum("_b").over(whole))
-    return steps.withColumn("_gap", gap).groupBy(*by).agg(F.max("_gap").alias("d"), F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    whole = steps.groupBy(*by).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    gap = F.abs((F.col("_below_a") + F.col("_a")) / F.col("n_a") - (F.col("_below_b") + F.col("_b")) / F.col("n_b"))
+    run = R.running(steps, "_v", {"_below_a": "_a", "_below_b": "_b"}, by)
+    run = run.join(whole, by) if by else run.crossJoin(F.broadcast(whole))
+    return run.groupBy(*by).agg(F.max(gap).alias("d"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def effect(d: Column) -> Column:

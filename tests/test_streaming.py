@@ -1,14 +1,16 @@
+import pytest
 from cadenza.operators.sequence import local_maxima
 from cadenza.plans.common import beats
 from cadenza.streaming.maxima import stream_maxima
 
 
-def test_stream_equals_batch(spark, small, tmp_path):
+@pytest.mark.parametrize("idle", [None, 3_600_000])
+def test_stream_equals_batch(spark, small, tmp_path, idle):
     rows = beats(spark, small).select("traj", "beat", "value").where("traj < 6").cache()
     for k in range(3):
         rows.where(f"beat >= {k * 25} and beat < {(k + 1) * 25}" if k < 2 else "beat >= 50").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        query = stream_maxima(stream, "traj", "beat", "value").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        query = stream_maxima(stream, "traj", "beat", "value", idle).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert query.exception() is None
     got = {(r.traj, r.at, r.height) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
