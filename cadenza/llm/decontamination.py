@@ -22,7 +22,7 @@ class Index:
     """Windows of some benchmark items as flat arrays: sorted hashes, each window's place in one byte buffer, and its items.
 
     Windows of one size with the same hash and the same words are one entry; equal hashes of different words are neighbours.
-    A part of PART_BYTES takes about eight times its bytes.
+    A part takes about five times its bytes, and some nine times as much again while it is built.
     """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):

@@ -9,6 +9,8 @@ from cadenza.llm._io import table, text_key, written
 
 SHARDS = 24
 ROUNDS = 6
+#: What shards may hold over their share in the first round; it falls to nothing in the last. Without it full shards would let no group in.
+SLACK = 1.0
 #: Cells that a running sum is dealt over, for each shard.
 CELLS = 64
 
@@ -37,12 +39,14 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUN
     members: the same before. Members of a group are linked with one another, so a member's neighbours vote for a shard with the
     number of members that it holds, and all members of a group there have the same votes; the state is kept by group
     and shard instead of by document. In each round every group names the shard with most of its members among those with room,
-    and members elsewhere ask to move there. A shard admits as many as fit, members with most neighbours there first.
+    and members elsewhere ask to move there. A shard admits as many as fit, members with most neighbours there first. Quotas are wider at
+    first and narrow to the capacity by the last round; what a shard then has over is for the levelling that follows.
     """
     state = written(members)
-    for _ in range(rounds):
+    for turn in range(rounds):
         loads = dict(state.groupBy("shard").agg(F.sum("n")).collect())  # a row a shard
-        free = [max(0, capacity - loads.get(s, 0)) for s in range(shards)]
+        most = int(capacity * (1 + SLACK * (1 - turn / max(1, rounds - 1))))
+        free = [max(0, most - loads.get(s, 0)) for s in range(shards)]
         room = _lookup(free, F.col("shard"))
         group = Window.partitionBy("key_a", "key_b")
         # a group's shards are at most `shards` rows; a full shard keeps its members but is no target

@@ -187,7 +187,8 @@ _SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.
 def write(docs: DataFrame, path: str, end: int = tokens.END_ID, vocabulary: str | None = None) -> None:
     """Writes documents' ids in ascending doc_id order (nulls first, equal ids by text) as one compressed file a shard.
 
-    A shard is a range of doc_ids. Its file holds blocks of about BLOCK ids, each a wavelet matrix with its documents' starts.
+    doc_id is a long. A null or empty text has only the end id; repeated rows each stand in the files; a very long text is a block of its
+    own; other columns don't matter; an empty table gives files without documents. A shard is a range of doc_ids. Its file holds blocks of about BLOCK ids, each a wavelet matrix with its documents' starts.
     Spark's own writer commits the files, so lost executors leave no half shard, on any store.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -39,6 +39,27 @@ def test_group_of_a_third(spark):
     assert len({r.shard for r in rows if r.doc_id % 3 == 0}) <= 3
 
 
+def cut_pairs(rows, texts):
+    """(pairs of equal texts in different shards, all pairs of equal texts)."""
+    groups = defaultdict(Counter)
+    for r in rows:
+        groups[texts[r.doc_id]][r.shard] += 1
+    pairs = lambda n: n * (n - 1) // 2
+    whole = sum(pairs(sum(c.values())) for c in groups.values())
+    return whole - sum(pairs(n) for c in groups.values() for n in c.values()), whole
+
+
+def test_cut_edges(spark):
+    """Near the best cut: none where groups fit, and for a group of a third of the rows what filling whole shards leaves."""
+    small = {i: f"t{i % 150}" if i < 900 else f"single {i}" for i in range(1200)}
+    hot = {i: "hot" if i % 3 == 0 else f"t{i // 6}" for i in range(1200)}
+    for texts, shards, best in ((small, 8, 0), (hot, 8, 400 * 399 // 2 - 2 * (150 * 149 // 2) - 100 * 99 // 2)):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        cut, whole = cut_pairs(sharding.assign(docs, shards).collect(), texts)
+        hashed, _ = cut_pairs(docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 8) as shard").collect(), texts)
+        assert cut <= best + 0.12 * whole and cut < 0.9 * hashed
+
+
 def test_few_rows(spark):
     for texts in ([], [(1, "a")], [(1, "a"), (2, "a"), (3, "a")]):
         rows = sharding.assign(spark.createDataFrame(texts, "doc_id long, text string"), 24).collect()
