@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, distinct_texts, table, text_key
+from cadenza.llm._io import bucketed, distinct_texts, table, text_key, written
 from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 400
@@ -21,10 +21,16 @@ END = 0xFF  # ends a segment; never part of UTF-8
 
 
 FIRST = 8  # bytes that one integer sorts by
+#: Bytes of the strings whose intervals the expansion starts from, FIRST times a power of two; the sort has them at no cost.
+SEED = 64
+
+
+def seed(depth: int) -> int:
+    return SEED if depth >= SEED else FIRST
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes sorted by their first `depth` bytes at least, flags of rows that differ from the row before in the first eight).
+    """(suffixes sorted by their first `depth` bytes at least, flags of rows that differ from the row before in the first seed(depth)).
 
     Eight bytes are compared as one integer; ranks of what still ties are then doubled in reach.
     """
@@ -58,13 +64,15 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         fresh[at[1:]] |= pair[1:] != pair[:-1]
         rank[suffix] = np.maximum.accumulate(np.where(fresh[at], at, 0))
         reach *= 2
+        if reach <= seed(depth):
+            short = fresh.copy()
     return order, short
 
 
 def common_prefix_at_least(data: np.ndarray, order: np.ndarray, short: np.ndarray, least: int) -> np.ndarray:
     """For each row of the suffix order, whether it shares its first `least` bytes (eight or more) with the row before.
 
-    Breadth-first backward extension. The search starts with the intervals of all strings of eight bytes, whose ends are
+    Breadth-first backward extension. The search starts with the intervals of all strings of seed(least) bytes, whose ends are
     the rows in `short`. An interval of length l is extended to the left by every byte that the transform holds in it. If the
     end of the interval of length l + 1 that this gives is not known yet, the common prefix there is l, and the interval is
     extended further; else it is left. So common prefixes come in increasing order, and all rounds together handle each
@@ -79,7 +87,7 @@ def common_prefix_at_least(data: np.ndarray, order: np.ndarray, short: np.ndarra
     high = np.append(low[1:], n).astype(np.int32)
     owner_at = np.full(n, -1, np.int32)
     run = np.cumsum(np.append(True, bwt[1:] != bwt[:-1]), dtype=np.int32)
-    for _ in range(FIRST, least):
+    for _ in range(seed(least), least):
         mixed = run[low] != run[high - 1]  # else one byte stands before all of the interval
         to, end = back[low[~mixed]], back[high[~mixed] - 1] + 1
         new = ~known[end]
@@ -147,36 +155,52 @@ def removed_bytes(spans: pa.StructArray, size: int, total: int) -> np.ndarray:
     return T.covered(spans.field("start").to_numpy(), spans.field("length").to_numpy() + size - 1, total)
 
 
-def _digest(size: int):
+def _digest(size: int, passage: int):
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"]
+
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, at = T.buffers(batch.column(batch.schema.get_field_index("text")))
-                spans = batch.column(batch.schema.get_field_index("spans"))
-                n = np.diff(at)
-                removed, runs, sha = [], [], []
+                spans, short = (batch.column(batch.schema.get_field_index(c)) for c in ("spans", "short"))
+                removed, runs, sha, repeated = [], [], [], []
                 for i in range(batch.num_rows):
                     text = data[at[i] : at[i + 1]]
+                    repeated.append(int(removed_bytes(short[i].values, passage, len(text)).sum()) if short[i].is_valid else 0)
                     if spans[i].is_valid:
                         gone = removed_bytes(spans[i].values, size, len(text))
                         removed.append(int(gone.sum()))
                         runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                        sha.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
+                        text = text[~gone]
                     else:
                         removed.append(0)
                         runs.append(0)
-                        sha.append(hashlib.sha256(text.tobytes()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], names=["key_a", "key_b", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    sha.append(hashlib.sha256(text.tobytes()).hexdigest())
+                counts = [pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha), pa.array(repeated, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=["key_a", "key_b", *names])
 
     return run
 
 
-def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text counts as empty."""
-    texts = bucketed(distinct_texts(docs), "key_a", "key_b")
-    found = texts.join(repeated_byte_spans(texts, size), ["key_a", "key_b"], "left")
-    by_text = found.mapInArrow(_digest(size), "key_a long, key_b long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return docs.select("doc_id", *text_key()).join(by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
+def digests(docs: DataFrame, size: int = SIZE, passage: int = PASSAGE) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage (bytes in strings of `passage` bytes that occur twice,
+    which stay).
+
+    A string of `size` bytes that repeats holds size - passage + 1 of `passage` bytes that do, so only texts with as many of these are
+    looked through again. A null text counts as empty; repeated rows of one doc_id each give a row and count as places; an empty table gives
+    none. Very long texts are looked at in overlapping pieces, whole. Other columns don't matter.
+    """
+    keys = ["key_a", "key_b"]
+    passage = min(passage, size)
+    texts = bucketed(distinct_texts(docs), *keys)
+    short = written(repeated_byte_spans(texts, passage))
+    windows = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    long = written(short.where(windows > size - passage).select(*keys))
+    spans = written(repeated_byte_spans(texts.join(long, keys), size))
+    found = texts.join(spans, keys, "left").join(short.withColumnRenamed("spans", "short"), keys, "left")
+    fields = "key_a long, key_b long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"
+    by_text = found.mapInArrow(_digest(size, passage), fields)
+    return docs.select("doc_id", *text_key()).join(by_text, keys).drop(*keys)
 
 
 def _whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -224,4 +248,6 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes, those in strings of 400 bytes that occur twice, their runs, a digest of the rest, and the bytes in strings of
+    200 that occur twice."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

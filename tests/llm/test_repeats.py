@@ -40,9 +40,11 @@ def test_bytes_as_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_array, "GRAM", 10)
     monkeypatch.setattr(suffix_array, "repeated_spans", lambda *a, **b: _repeats.repeated_spans(*a, **b, most=most))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.digests(docs, size).collect()}
+    rows = {r.doc_id: r for r in suffix_array.digests(docs, size, 12).collect()}
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows.items()}
     want = brute_bytes([(t or "").encode() for t in texts], size)
     assert [got[i] for i in range(len(texts))] == want
+    assert [rows[i].n_passage for i in range(len(texts))] == [w[1] for w in brute_bytes([(t or "").encode() for t in texts], 12)]
     assert sum(w[1] for w in want) > 500
 
 
@@ -56,7 +58,49 @@ def test_whole_characters_stay(spark):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert suffix_array.digests(docs).count() == 0
+    assert suffix_array.digests(docs).count() == 0 and substring.digests(docs).count() == 0
+    assert suffix_array.without_repeats(docs).count() == 0 and substring.without_passages(docs).count() == 0
+
+
+def test_repeated_rows_are_places(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage), (1, passage), (2, "short"), (2, "short")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring.digests(docs).collect()) == [0, 0, 60, 60]
+    assert sorted(r.n_removed for r in suffix_array.digests(docs).collect()) == [0, 0, len(passage), len(passage)]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Windows have the same anchors whether a text is looked at in pieces or at once."""
+    import pyarrow as pa
+
+    texts = ["".join(random.Random(k).choice("ab \n") for _ in range(900)) for k in range(2)]
+    texts.append(texts[0][100:400] + "X" + texts[1][200:500] + "X" + texts[0][300:600])
+    monkeypatch.setattr(_repeats.T, "slices", lambda batch, column, *a, **b: (batch.slice(i, 1) for i in range(batch.num_rows)))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([0, 0, 0]), pa.array(texts), pa.array([1, 1, 1])], names=["key_a", "key_b", "text", "copies"])
+
+    def anchors(piece):
+        monkeypatch.setattr(_repeats, "PIECE", piece)
+        rows = pa.Table.from_batches(list(_repeats.segments(30, 7, False)(iter([batch])))).to_pydict()
+        return {(k, s + i): a for k, s, n, a in zip(rows["key_a"], rows["start"], rows["n"], rows["anchor"], strict=True) for i in range(n)}
+
+    assert anchors(64) == anchors(1 << 20) and len(anchors(64)) == sum(len(t) - 29 for t in texts)
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    starts = np.arange(0, 890, 3)
+    whole = _repeats.T.Rolling(data).of(starts, starts + 5)
+    assert (_repeats.T.spans_hashed(data, starts, starts + 5, 50) == whole).all()
+
+
+def test_passages_just_over_fifty_words(spark):
+    """51 short words that two documents share go; clean documents stay."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(51) for _ in range(6)]
+    docs = [(i, f"{text(80)} {passages[i % 6]} {text(80)}") for i in range(12)] + [(i, text(200)) for i in range(12, 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {q.doc_id: q for q in suffix_array.without_repeats(df, suffix_array.PASSAGE).collect()}
+    assert all(passages[i % 6] not in rows[i].text and len(rows[i].text) < len(docs[i][1]) - 200 for i in range(12))
+    assert all(rows[i].text == docs[i][1] for i in range(12, 30))
 
 
 @pytest.mark.parametrize("seed", range(5))
