@@ -84,9 +84,15 @@ def drop_since(spark: SparkSession, before: set[str]) -> None:
 
 
 def text_key(text: str = "text") -> list:
-    """128 bits that name a text, as two long columns key_a and key_b (a null counts as empty)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(t).alias("key_a"), F.xxhash64(F.lit(0x5EED), t).alias("key_b")]
+    """128 bits of the text's SHA-256 as two long columns key_a and key_b (a null counts as empty): no two texts can be made to share them."""
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "key_a"), (17, "key_b"))]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named _0, _1, ..., and these by the old names: no column that a stage adds can clash with them."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:

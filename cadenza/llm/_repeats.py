@@ -7,14 +7,17 @@ occur more than once anywhere are wanted, without shuffling every window:
    window's content alone, so equal windows have equal anchors. Neighbouring windows with one
    anchor form a segment; every window lies in exactly one segment.
 2. Spark counts anchors. Those of one segment that doesn't repeat itself hold no repeat and go, which is most of the text. What is
-   left is counted by (anchor, hash of the segment's units).
+   left is counted by (anchor, digest of the segment's bytes).
 3. One copy of each remaining segment's units is dealt to reference shards by its anchor, so
    all places of a window meet in one shard. A kernel (a suffix automaton, or a Burrows-Wheeler
    transform) finds which windows of the shard occur twice, counting copies.
 4. Shards' answers go back to every place of the segment, and each text joins its spans.
 
 Anchors with more than `most` different segments are hot: they would overload one shard. Their
-windows are counted one by one under 128-bit hashes instead, which spreads them evenly at any size.
+windows are counted one by one under 128-bit digests instead, which spreads them evenly at any size.
+
+Rolling hashes choose anchors and leave out windows that can't repeat; that two things are equal is decided by their bytes, or by 128 bits
+of a cryptographic digest of them where they lie in different tasks.
 """
 
 from __future__ import annotations
@@ -41,13 +44,22 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64, copy=False).view(np.int64))
 
 
-def _units(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(units, offsets of texts in units): bytes, or hashes of words."""
-    data, offsets = T.buffers(batch.column(batch.schema.get_field_index("text")))
-    if not words:
-        return data, offsets
-    starts, ends, at = T.words(data, offsets, T.WORD_UNCHANGED)
-    return T.spans_hashed(data, starts, ends), at
+class Units:
+    """A batch's texts as units: bytes, or words by 64 bits of a digest (values); `at` are the offsets of texts. raw are the bytes themselves,
+    a word with a space behind it, and place where each unit begins there (None: units are bytes)."""
+
+    def __init__(self, batch: pa.RecordBatch, words: bool):
+        data, offsets = T.buffers(batch.column(batch.schema.get_field_index("text")))
+        self.values = self.raw = data
+        self.at, self.place = offsets, None
+        if words:
+            starts, ends, self.at = T.words(data, offsets, T.WORD_UNCHANGED)
+            self.raw, self.place = T.spelled(data, starts, ends)
+            self.values = T.word_digests(self.raw, self.place)
+
+    def bounds(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in raw the units [begin, end) are."""
+        return (begin, end) if self.place is None else (self.place[begin], self.place[end])
 
 
 #: Units of a very long text that are looked at together; pieces overlap by a window less one unit.
@@ -58,12 +70,12 @@ def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordB
     """mapInArrow: texts to rows (key_a, key_b, start, n, anchor, seg, copies, own); n counts windows.
 
     own is 1 if two windows of the segment may be equal. Then the first slice with the anchor's hash lies in front of the later
-    window, and the window behind that slice holds the hash again.
+    window, and the window behind that slice holds the hash again. Rolling hashes only choose anchors; seg is 128 bits of BLAKE2b of the
+    segment's own bytes.
     """
 
-    def rows(batch: pa.RecordBatch, units: np.ndarray, at: np.ndarray, shift: int) -> pa.RecordBatch | None:
-        rolling = T.steps(units)
-        slices = rolling.windows(gram)
+    def rows(batch: pa.RecordBatch, units: Units, at: np.ndarray, low: int, high: int) -> pa.RecordBatch | None:
+        slices = T.steps(units.values[low:high]).windows(gram)
         smallest = T.sliding_min(slices, size - gram + 1)
         again = np.zeros(len(smallest) + 1, np.int64)
         if len(smallest) > 1:
@@ -83,19 +95,22 @@ def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordB
         begin = index[first]
         text = np.repeat(np.arange(batch.num_rows), lengths)[first]
         pick = lambda name: batch.column(batch.schema.get_field_index(name)).take(pa.array(text))
+        seg = T.digests(units.raw, *units.bounds(begin + low, begin + low + n + size - 1))
+        seg = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32)), pa.py_buffer(seg)])
         return pa.RecordBatch.from_arrays(
-            [pick("key_a"), pick("key_b"), pa.array((begin - at[text] + shift).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), _long(rolling.of(begin, begin + n + size - 1)), pick("copies"), pa.array((again[begin + n] > again[begin]).astype(np.int64))],
+            [pick("key_a"), pick("key_b"), pa.array((begin - at[text] + low).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchors[first]), seg, pick("copies"), pa.array((again[begin + n] > again[begin]).astype(np.int64))],
             names=["key_a", "key_b", "start", "n", "anchor", "seg", "copies", "own"],
         )
 
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
-                units, at = _units(batch, words)
-                step = len(units) if batch.num_rows > 1 else PIECE  # only a text alone is longer than a slice
-                for low in range(0, len(units), max(1, step)):
-                    part = units[low : low + step + size - 1]
-                    found = rows(batch, part, at if batch.num_rows > 1 else np.array([0, len(part)]), low)
+                units = Units(batch, words)
+                total = len(units.values)
+                step = total if batch.num_rows > 1 else PIECE  # only a text alone is longer than a slice
+                for low in range(0, total, max(1, step)):
+                    high = min(total, low + step + size - 1)
+                    found = rows(batch, units, units.at if batch.num_rows > 1 else np.array([0, high - low]), low, high)
                     if found is not None:
                         yield found
 
@@ -103,24 +118,21 @@ def segments(size: int, gram: int, words: bool) -> Callable[[Iterator[pa.RecordB
 
 
 def _contents(size: int, words: bool):
-    """mapInArrow: texts with the segments asked of them to (anchor, seg, weight, n, units); units are word hashes or bytes."""
+    """mapInArrow: texts with the segments asked of them to (anchor, seg, weight, n, units); units are bytes, words with a space behind each."""
 
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, "text"):
-                values, at = _units(batch, words)
+                units = Units(batch, words)
                 asked = batch.column(batch.schema.get_field_index("asked"))
                 text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
                 rows = asked.flatten()
-                begin = at[text] + rows.field("start").to_numpy()
-                n = rows.field("n").to_numpy()
-                lo, hi = begin, begin + n + size - 1
-                if words:
-                    values, lo, hi = values.view(np.uint8), lo * 8, hi * 8
+                begin = units.at[text] + rows.field("start").to_numpy()
+                lo, hi = units.bounds(begin, begin + rows.field("n").to_numpy() + size - 1)
                 offsets = np.zeros(len(lo) + 1, np.int32)
                 np.cumsum(hi - lo, out=offsets[1:])
-                units = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values[T.ranges(lo, hi - lo)]))])
-                yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("seg"), rows.field("weight"), rows.field("n"), units], names=["anchor", "seg", "weight", "n", "units"])
+                raw = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(units.raw[T.ranges(lo, hi - lo)]))])
+                yield pa.RecordBatch.from_arrays([rows.field("anchor"), rows.field("seg"), rows.field("weight"), rows.field("n"), raw], names=["anchor", "seg", "weight", "n", "units"])
 
     return run
 
@@ -142,8 +154,8 @@ def _runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def stretches(units: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size: int):
     """What of a shard may repeat: (first, last, one, which, weight) or None.
 
-    Windows whose rolling hash is alone (and whose segment has no copy) can't repeat. The others form stretches
-    [first, last); `one` picks a stretch of each content, `which` tells each stretch's content, weight counts a content's places.
+    Windows whose rolling hash is alone (and whose segment has no copy) can't repeat. The others form stretches [first, last); `one` picks a
+    stretch of each content, compared byte by byte, `which` tells each stretch's content, weight counts a content's places.
     """
     lengths = np.maximum(0, np.diff(offsets) - size + 1)
     starts = T.ranges(offsets[:-1], lengths)
@@ -162,7 +174,9 @@ def stretches(units: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size:
     stop[:-1] &= ~maybe[1:] | apart
     at = np.flatnonzero(begin)
     first, last = starts[at], starts[np.flatnonzero(stop)] + size
-    _, one, which = np.unique(rolling.of(first, last), return_index=True, return_inverse=True)
+    offsets = np.concatenate([[0], np.cumsum(last - first)])
+    which, _ = T.dictionary(units[T.ranges(first, last - first)], offsets)
+    _, one = np.unique(which, return_index=True)
     return first, last, one, which, np.bincount(which, weight[at]).astype(np.int64)
 
 
@@ -171,8 +185,9 @@ def _shards(size: int, words: bool, kernel: Kernel):
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
         raw, offsets = T.buffers(table["units"].combine_chunks() if table["units"].num_chunks != 1 else table["units"].chunk(0))
-        if words:
-            raw, offsets = np.ascontiguousarray(raw).view(np.uint64), offsets // 8
+        if words:  # words are numbered by spelling
+            starts, ends, offsets = T.words(raw, offsets, T.WORD_UNCHANGED)
+            raw, _ = T.dictionary(*T.spelled(raw, starts, ends))
         flags = kernel(raw, offsets, table["weight"].to_numpy(), size)
         segment, begin, length = _runs(flags, offsets)
         take = pa.array(segment)
@@ -207,22 +222,25 @@ def _shards(size: int, words: bool, kernel: Kernel):
 
 
 def _each_window(size: int, words: bool):
-    """mapInArrow: (anchor, seg, weight, begin, hash_a, hash_b) for every window of the given segments."""
-    width = 8 if words else 1
+    """mapInArrow: (anchor, seg, weight, begin, window) for every window of the given segments; window is 128 bits of BLAKE2b of its bytes."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw, offsets = T.buffers(batch.column(batch.schema.get_field_index("units")))
-            n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), n)
-            begin = T.ranges(np.zeros(len(n), np.int64), n)
-            at = offsets[:-1][row] + begin * width
-            take = pa.array(row)
-            pick = [batch.column(batch.schema.get_field_index(x)).take(take) for x in ("anchor", "seg", "weight")]
-            hashes = [_long(r.of(at, at + size * width)) for r in (T.Rolling(raw), T.steps(raw))]
-            yield pa.RecordBatch.from_arrays([*pick, pa.array(begin.astype(np.int32)), *hashes], names=["anchor", "seg", "weight", "begin", "hash_a", "hash_b"])
+        for whole in batches:
+            for batch in T.slices(whole, "units"):
+                raw, offsets = T.buffers(batch.column(batch.schema.get_field_index("units")))
+                n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), n)
+                begin = T.ranges(np.zeros(len(n), np.int64), n)
+                if words:
+                    starts, ends, first = T.words(raw, offsets, T.WORD_UNCHANGED)
+                    lo, hi = starts[first[:-1][row] + begin], ends[first[:-1][row] + begin + size - 1]
+                else:
+                    lo = offsets[:-1][row] + begin
+                    hi = lo + size
+                take = pa.array(row)
+                pick = [batch.column(batch.schema.get_field_index(x)).take(take) for x in ("anchor", "seg", "weight")]
+                window = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.arange(0, 16 * len(lo) + 1, 16, dtype=np.int32)), pa.py_buffer(T.digests(raw, lo, hi))])
+                yield pa.RecordBatch.from_arrays([*pick, pa.array(begin.astype(np.int32)), window], names=["anchor", "seg", "weight", "begin", "window"])
 
     return run
 
@@ -230,12 +248,12 @@ def _each_window(size: int, words: bool):
 def _count_hot(hot: DataFrame, size: int, words: bool) -> DataFrame:
     """(anchor, seg, begin, length) of the repeated windows of hot segments (anchor, seg, weight, n, units).
 
-    Each window stands in a row of its own under a 128-bit hash. Counts merge in the map tasks and the join back is a plain
-    one of two written tables, which Spark splits where a window is very common; so no anchor overloads a task.
+    Each window stands in a row of its own under a cryptographic digest of 128 bits. Counts merge in the map tasks and the join back is a
+    plain one of two written tables, which Spark splits where a window is very common; so no anchor overloads a task.
     """
-    windows = written(hot.mapInArrow(_each_window(size, words), "anchor long, seg long, weight long, begin int, hash_a long, hash_b long"))
-    common = written(windows.groupBy("hash_a", "hash_b").agg(F.sum("weight").alias("uses")).where("uses > 1").select("hash_a", "hash_b"))
-    return windows.join(common, ["hash_a", "hash_b"]).select("anchor", "seg", "begin", F.lit(1).alias("length"))
+    windows = written(hot.mapInArrow(_each_window(size, words), "anchor long, seg binary, weight long, begin int, window binary"))
+    common = written(windows.groupBy("window").agg(F.sum("weight").alias("uses")).where("uses > 1").select("window"))
+    return windows.join(common, "window").select("anchor", "seg", "begin", F.lit(1).alias("length"))
 
 
 def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, words: bool, most: int = 5000, kernel_on_copies: bool = False) -> DataFrame:
@@ -244,7 +262,7 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     texts: (key_a, key_b, text, copies), one row for each different text. kernel_on_copies: whether segments that have exact
     copies and no other neighbour go through the kernel as well; else equality settles them.
     """
-    places = written(texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg long, copies long, own long"))
+    places = written(texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg binary, copies long, own long"))
     place = F.xxhash64("key_a", "key_b", "start")
     repeated = written(places.groupBy("anchor").agg(F.sum(F.col("copies") + F.col("own")).alias("uses")).where("uses > 1").select("anchor"))
     candidates = written(places.join(repeated, "anchor"))
@@ -252,7 +270,7 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     kinds = candidates.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(place).alias("first"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     salted = anchors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    wanted = written(kinds.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
+    wanted = written(kinds.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
     flagged = written(candidates.drop("copies", "own").join(wanted, ["anchor", "seg"]))
     drop(candidates)
     alone = F.lit(False) if kernel_on_copies else (F.col("kinds") == 1) & (F.col("weight") > 1)
@@ -263,10 +281,10 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
         .groupBy("key_a", "key_b")
         .agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "weight", "kinds")).alias("asked"))
     )
-    fields = "anchor long, seg long, weight long, n int, units binary"
+    fields = "anchor long, seg binary, weight long, n int, units binary"
     give = lambda keep: texts.join(asked, ["key_a", "key_b"]).withColumn("asked", F.filter("asked", lambda x: keep(x["kinds"]))).where(F.size("asked") > 0).mapInArrow(_contents(size, words), fields)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = give(lambda kinds: kinds <= most).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, words, kernel), "anchor long, seg long, begin int, length int")
+    cold = give(lambda kinds: kinds <= most).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, words, kernel), "anchor long, seg binary, begin int, length int")
     answers = cold
     if not wanted.where(F.col("kinds") > most).isEmpty():
         answers = cold.unionByName(_count_hot(give(lambda kinds: kinds > most), size, words))

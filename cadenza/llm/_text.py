@@ -6,6 +6,7 @@ Everything here works on one Arrow batch at a time, inside a Spark task.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,36 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): the words end to end, each with a space behind it."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths + 1, out=offsets[1:])
+    joined = np.full(int(offsets[-1]), 0x20, np.uint8)
+    joined[ranges(offsets[:-1], lengths)] = data[ranges(starts, lengths)]
+    return joined, offsets
+
+
+def dictionary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each slice, the different slices): equal codes are equal bytes."""
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> bytes:
+    """BLAKE2b of each span, end to end."""
+    view = memoryview(np.ascontiguousarray(data))
+    blake = hashlib.blake2b
+    return b"".join([blake(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+
+def word_digests(joined: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each word (with its space); each spelling is hashed once."""
+    code, words_ = dictionary(joined, offsets)
+    raw, at = buffers(words_)
+    return np.frombuffer(digests(raw, at[:-1], at[1:], 8), np.uint64)[code] if len(code) else np.zeros(0, np.uint64)
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """Minimum of each `size` neighbouring values, by block prefixes and suffixes."""
     n = len(values) - size + 1

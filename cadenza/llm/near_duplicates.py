@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, drop, table, text_key, written
+from cadenza.llm._io import bucketed, drop, numbered, table, text_key, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,7 +36,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-grams, offsets): a text of fewer words is one n-gram, one without words has none."""
     data, offsets = T.buffers(texts)
     starts, ends, first = T.words(data, offsets, T.WORD_UNCHANGED)
-    rolling = T.steps(T.spans_hashed(data, starts, ends))
+    rolling = T.steps(T.word_digests(*T.spelled(data, starts, ends)))
     n = np.diff(first)
     grams = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     begin = T.ranges(first[:-1], grams)
@@ -298,17 +298,17 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest doc_id of every class; of equal rows of that doc_id and text one stays. Columns stay as they are."""
-    key_a, key_b = text_key()
-    keys = ["_key_a", "_key_b"]
-    named = [key_a.alias("_key_a"), key_b.alias("_key_b")]
-    by_text = _by_text(docs, words, threshold).select(F.col("key_a").alias("_key_a"), F.col("key_b").alias("_key_b"), "class_a", "class_b")
-    rows = docs.select("doc_id", *named).groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("rows")).join(by_text, keys)
-    first = rows.groupBy("class_a", "class_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *keys, "rows")).alias("t"))
-    lone = written(first.select(F.col("t.doc_id").alias("_id"), F.col("t._key_a").alias("_key_a"), F.col("t._key_b").alias("_key_b"), F.col("t.rows").alias("_rows")))
-    kept = docs.withColumns({"_key_a": key_a, "_key_b": key_b}).join(lone, keys).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "_rows")
-    if lone.where("_rows > 1").isEmpty():
-        return kept.drop("_rows")
-    return kept.where("_rows = 1").drop("_rows").unionByName(kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"]))
+    plain, names = numbered(docs)
+    ident, text, keys = names["doc_id"], names["text"], ["key_a", "key_b"]
+    plain = plain.select("*", *text_key(text))
+    by_text = _by_text(docs, words, threshold).select(*keys, "class_a", "class_b")
+    rows = plain.groupBy(F.col(ident).alias("id"), *keys).agg(F.count(F.lit(1)).alias("rows")).join(by_text, keys)
+    first = rows.groupBy("class_a", "class_b").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", *keys, "rows")).alias("t"))
+    lone = written(first.select("t.id", "t.key_a", "t.key_b", "t.rows"))
+    kept = plain.join(lone, keys).where(F.col(ident).eqNullSafe(F.col("id"))).select(*names.values(), "rows")
+    if not lone.where("rows > 1").isEmpty():
+        kept = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates([ident, text]))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, distinct_texts, table, text_key
+from cadenza.llm._io import bucketed, distinct_texts, numbered, table, text_key
 from cadenza.llm._repeats import repeated_spans
 
 SIZE = 35
@@ -99,7 +99,7 @@ class SuffixAutomaton:
 
 
 def repeated_windows(units: np.ndarray, offsets: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """Flags of the window starts in a shard's word hashes whose `size` words have another place.
+    """Flags of the window starts in a shard's words, numbered by spelling, whose `size` words have another place.
 
     The shard's automaton is built from all of its passages, which then stream through it; nothing else decides.
     """
@@ -181,9 +181,11 @@ def without_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs whose repeated passages of `size` words are gone; such texts' words are joined by one space, others stay as they are."""
     texts = bucketed(distinct_texts(docs), "key_a", "key_b")
     hit = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
-    key_a, key_b = text_key()
-    joined = docs.withColumns({"_key_a": key_a, "_key_b": key_b}).join(hit.withColumnsRenamed({"key_a": "_key_a", "key_b": "_key_b", "kept": "_kept"}), ["_key_a", "_key_b"], "left")
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_kept", "text"))).select(*docs.columns)
+    plain, names = numbered(docs)
+    text = F.col(names["text"])
+    joined = plain.select("*", *text_key(names["text"])).join(hit, ["key_a", "key_b"], "left")
+    fresh = {"text": F.when(text.isNotNull(), F.coalesce("kept", text))}
+    return joined.select(*[fresh.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

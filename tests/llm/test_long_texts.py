@@ -1,13 +1,44 @@
 """Very long texts, and tables whose extra columns bear the operators' own names."""
 
+import inspect
 import random
+import re
 
 import pytest
-from cadenza.llm import decontamination, language, licenses, near_duplicates, packing, sharding, substring, suffix_array, wavelet
+from cadenza.llm import _io, _repeats, decontamination, language, licenses, near_duplicates, packing, sharding, substring, suffix_array, wavelet
 
 CLASHING = ["key_a", "key_b", "copies", "anchor", "seg", "spans", "shard", "n", "list", "block", "class", "part", "rank", "index", "lang_pred", "score", "kept", "n_words", "words", "items", "cell", "first"]
 
 
+def stage_names():
+    """Every column name that the stages' own source writes, and the numbered ones that columns are renamed to meanwhile."""
+    source = "".join(inspect.getsource(m) for m in (_io, _repeats, decontamination, language, near_duplicates, packing, substring, suffix_array))
+    found = set(re.findall(r"['\"]([a-z_][a-z0-9_]*)['\"]", source)) | {f"_{i}" for i in range(4)} | {"_rows", "_id", "_kept", "_key_a", "_key_b", "_row"}
+    return sorted(found - {"doc_id", "text", "lang", "n_chars"})
+
+
+def test_names_of_stages(spark):
+    """Each stage on a table that has columns of all names that it adds itself: columns and their values stay."""
+    names = stage_names()
+    assert {"key_a", "class_a", "rows", "kept", "anchor", "seg", "_rows", "_id"} <= set(names)
+    passage = " ".join(f"word{i}" for i in range(80))
+    texts = [(1, f"one two three {passage}", "en"), (2, f"quite another beginning {passage} and end", "en"), (3, f"quite another beginning {passage} and end", "en"), (4, "ein kurzer Text hier", "de"), (5, None, "de")]
+    fields = ", ".join(f"`{n}` long" for n in names)
+    docs = spark.createDataFrame([(*t, len(t[1] or ""), *range(t[0], t[0] + len(names))) for t in texts], f"doc_id long, text string, lang string, n_chars long, {fields}")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    stages = {
+        "language": lambda d: language.with_language(d, 0.0), "near": near_duplicates.one_of_each, "bytes": lambda d: suffix_array.without_repeats(d, 200),
+        "words": substring.without_passages, "benchmark": lambda d: decontamination.without_benchmark(d, items), "much of it": lambda d: decontamination.without_benchmark(d, items, drop_over=0.5),
+    }
+    left = {"language": 4, "near": 3, "bytes": 5, "words": 5, "benchmark": 5, "much of it": 2}
+    for name, stage in stages.items():
+        found = stage(docs)
+        assert found.columns == docs.columns, name
+        rows = found.collect()
+        assert len(rows) == left[name] and all([r[n] for n in names] == list(range(r.doc_id, r.doc_id + len(names))) for r in rows), name
+    assert packing.pack(docs, with_ids=False).select("doc_id").distinct().count() == 5
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(8)

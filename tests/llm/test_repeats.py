@@ -163,3 +163,85 @@ def test_automaton_counts_places():
         seen = Counter(tuple(s[i : i + size]) for s in sequences for i in range(len(s) - size + 1))
         for s in sequences:
             assert a.repeated(s, size) == [i + 1 >= size and seen[tuple(s[i + 1 - size : i + 1])] > 1 for i in range(len(s))]
+
+
+def colliding(base, seed, letters=25, block=8, width=1 << 17):
+    """Two different strings of small letters with one polynomial hash modulo 2^64 in the base, by a birthday search on differences."""
+    r = np.random.default_rng(seed)
+    lists = []
+    for k in range(8):
+        d = r.integers(-letters, letters + 1, (width, block))
+        powers = np.array([pow(base, k * block + j, 1 << 64) for j in range(block)], np.uint64)
+        lists.append((((d.astype(np.int64).view(np.uint64)) * powers).sum(axis=1, dtype=np.uint64), d))
+    for bits in (16, 16, 32):
+        done = {16: 0, 32: 32}[bits] if len(lists) != 4 else 16
+        merged = []
+        for (a, da), (b, db) in zip(lists[::2], lists[1::2], strict=True):
+            mask = np.uint64((1 << bits) - 1)
+            left, right = (a >> np.uint64(done)) & mask, ((np.uint64(0) - b) >> np.uint64(done)) & mask
+            by = np.argsort(right)
+            lo, hi = np.searchsorted(right[by], left), np.searchsorted(right[by], left, side="right")
+            n = hi - lo
+            i = np.repeat(np.arange(len(a)), n)[: 2 * width]
+            j = by[_repeats.T.ranges(lo, n)[: 2 * width]]
+            merged.append((a[i] + b[j], np.concatenate([da[i], db[j]], axis=1)))
+        lists = merged
+    sums, d = lists[0]
+    d = next(x for s, x in zip(sums, d, strict=True) if s == 0 and x.any())
+    one = np.maximum(d, 0) + 97
+    return bytes(one.astype(np.uint8).tolist()).decode(), bytes((one - d).astype(np.uint8).tolist()).decode()
+
+
+@pytest.fixture(scope="module")
+def collisions():
+    found = [colliding(base, k) for k, base in enumerate((_repeats.T._BASE, _repeats.T._STEP))]
+    for base, (a, b) in zip((_repeats.T._BASE, _repeats.T._STEP), found, strict=True):
+        value = lambda t, base=base: sum((ord(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(t)) % 2**64
+        assert a != b and value(a) == value(b)
+    return found
+
+
+def test_words_with_colliding_hashes(spark, collisions):
+    """Windows that differ in one word of the same polynomial hash don't repeat."""
+    docs = []
+    for k, (a, b) in enumerate(collisions):
+        shared = [f"w{k}x{i}" for i in range(34)]
+        docs += [" ".join([*shared, a]), " ".join([*shared, b]), " ".join([a, *shared[:34]]), " ".join([b, *shared[:34]])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(df).collect()}
+    assert [got[i] for i in range(len(docs))] == brute_words(docs, 35) and all(g[1] == 0 for g in got.values())
+
+
+@pytest.mark.parametrize("most", [5000, 1])
+def test_bytes_with_colliding_hashes(spark, collisions, monkeypatch, most):
+    """Strings around bytes of the same polynomial hash, of every length before and behind, are told apart."""
+    monkeypatch.setattr(suffix_array, "repeated_spans", lambda *a, **b: _repeats.repeated_spans(*a, **b, most=most))
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("ABCDEFGHIJ") for _ in range(n))
+    docs = []
+    for a, b in collisions * 4:
+        before, behind = letters(r.randint(100, 420)), letters(r.randint(200, 600))
+        docs += [before + a + behind, before + b + behind, letters(30) + a + behind[:390]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    want = brute_bytes([t.encode() for t in docs], 400)
+    got = {q.doc_id: (q.n_bytes, q.n_removed, q.n_spans, q.kept_sha256) for q in suffix_array.digests(df).collect()}
+    assert [got[i] for i in range(len(docs))] == want and 0 < sum(w[1] for w in want)
+    kept = {q.doc_id: q.text for q in suffix_array.without_repeats(df).collect()}
+    assert [hashlib.sha256(kept[i].encode()).hexdigest() for i in range(len(docs))] == [w[3] for w in want]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_kernels_under_weak_hashes(monkeypatch, seed):
+    """Two bits of hash: nothing but more work may come of it."""
+    monkeypatch.setattr(_repeats.T, "mix", lambda h: h & np.uint64(3))
+    r = random.Random(seed)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(20, 60))) for _ in range(12)]
+    texts.append(texts[0])
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    seen = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11))
+    want = np.zeros(len(data), bool)
+    for at, t in zip(offsets.tolist(), texts, strict=False):
+        for i in range(len(t) - 11):
+            want[at + i] = seen[t[i : i + 12]] > 1
+    for kernel in (suffix_array.repeated_windows, substring.repeated_windows):
+        assert (kernel(data, offsets, np.ones(len(texts), np.int64), 12) == want).all()
