@@ -45,7 +45,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 class Units:
-    """A batch's texts as units: bytes, or words by 64 bits of a digest (values); `at` are the offsets of texts. raw are the bytes themselves,
+    """A batch's texts as units: bytes, or words by a hash that serves to choose anchors (values); `at` are the offsets of texts. raw are the bytes themselves,
     a word with a space behind it, and place where each unit begins there (None: units are bytes)."""
 
     def __init__(self, batch: pa.RecordBatch, words: bool):
@@ -55,7 +55,7 @@ class Units:
         if words:
             starts, ends, self.at = T.words(data, offsets, T.WORD_UNCHANGED)
             self.raw, self.place = T.spelled(data, starts, ends)
-            self.values = T.word_digests(self.raw, self.place)
+            self.values = T.spans_hashed(data, starts, ends)
 
     def bounds(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in raw the units [begin, end) are."""

@@ -171,11 +171,32 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int =
     return b"".join([blake(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
-def word_digests(joined: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b of each word (with its space); each spelling is hashed once."""
-    code, words_ = dictionary(joined, offsets)
-    raw, at = buffers(words_)
-    return np.frombuffer(digests(raw, at[:-1], at[1:], 8), np.uint64)[code] if len(code) else np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word, eight bytes at a time, each time fully mixed: words of up to eight bytes and one length never share a hash."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    which, at = np.arange(len(starts)), starts
+    while len(which):
+        chunk = padded[at[:, None] + np.arange(8)].view(np.uint64).ravel()
+        short = np.minimum(left, 8).astype(np.uint64)
+        chunk &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * short)
+        out[which] = mix(out[which] ^ chunk)
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def gram_hashes(words_: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the words [begin, end) each, mixed word by word."""
+    out = mix((end - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    for k in range(int((end - begin).max(initial=0))):
+        inside = begin + k < end
+        if inside.all():
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ words_[begin + k])
+        else:
+            out[inside] = mix(out[inside] * np.uint64(0x9E3779B97F4A7C15) ^ words_[begin[inside] + k])
+    return out
 
 
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:

@@ -36,12 +36,11 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-grams, offsets): a text of fewer words is one n-gram, one without words has none."""
     data, offsets = T.buffers(texts)
     starts, ends, first = T.words(data, offsets, T.WORD_UNCHANGED)
-    rolling = T.steps(T.word_digests(*T.spelled(data, starts, ends)))
     n = np.diff(first)
     grams = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     begin = T.ranges(first[:-1], grams)
     end = np.minimum(begin + words, np.repeat(first[1:], grams))
-    return rolling.of(begin, end), np.concatenate([[0], np.cumsum(grams)])
+    return T.gram_hashes(T.word_hashes(data, starts, ends), begin, end), np.concatenate([[0], np.cumsum(grams)])
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
