@@ -21,12 +21,15 @@ END = 0xFF  # ends a segment; never part of UTF-8
 
 
 FIRST = 8  # bytes that one integer sorts by
-#: Bytes of the strings whose intervals the expansion starts from, FIRST times a power of two; the sort has them at no cost.
-SEED = 64
 
 
 def seed(depth: int) -> int:
-    return SEED if depth >= SEED else FIRST
+    """Bytes of the strings whose intervals the expansion to `depth` starts from: FIRST times a power of two, two thirds of the depth at most
+    (256 for 400, 128 for 200). The sort by doubling passes them on its way, at no cost."""
+    reach = FIRST
+    while 3 * reach <= depth:
+        reach *= 2
+    return reach
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
