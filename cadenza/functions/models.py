@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from cadenza.functions.layers import activation
 
 
 @dataclass
@@ -29,12 +31,9 @@ class LinearEncoder:
         return (latents @ self.components + self.mean).reshape(len(latents), *self.shape)
 
 
-_ACTIVATIONS = {"relu": (lambda x: np.maximum(x, 0), lambda x: (x > 0).astype(float)), "tanh": (np.tanh, lambda x: 1 - np.tanh(x) ** 2), "silu": (lambda x: x / (1 + np.exp(-x)), lambda x: (1 + np.exp(-x) + x * np.exp(-x)) / (1 + np.exp(-x)) ** 2)}
-
-
 @dataclass
 class Regressor:
-    """A small network with two heads, latent and standardised log duration."""
+    """A small network with two heads, latent and standardised log duration. `wings` latents stand end to end."""
 
     hidden: tuple[int, ...] = (128, 128)
     activation: str = "silu"
@@ -42,15 +41,37 @@ class Regressor:
     biases: list[np.ndarray] = field(default_factory=list)
     duration_mean: float = 0.0
     duration_sd: float = 1.0
+    dropout: float = 0.0
+    wings: int = 1
+
+    def __post_init__(self):
+        activation(self.activation)
 
-    def _forward(self, x: np.ndarray) -> list[np.ndarray]:
-        act = _ACTIVATIONS[self.activation][0]
+    def _forward(self, x: np.ndarray, masks: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
+        act = activation(self.activation)[0]
         outs = [x]
         for i, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
-            z = outs[-1] @ w + b if i == 0 else act(outs[-1]) @ w + b
-            outs.append(z)
+            below = outs[-1] if i == 0 else act(outs[-1])
+            outs.append((below if not masks or i == 0 else below * masks[i]) @ w + b)
         return outs
 
+    @property
+    def config(self) -> dict:
+        return {"hidden": list(self.hidden), "activation": self.activation, "duration_mean": self.duration_mean, "duration_sd": self.duration_sd, "dropout": self.dropout, "wings": self.wings}
+
+    @property
+    def named(self) -> dict[str, np.ndarray]:
+        return {f"{kind}.{i}": p for kind, parts in (("weight", self.weights), ("bias", self.biases)) for i, p in enumerate(parts)}
+
+    def load(self, named: dict[str, np.ndarray]) -> Regressor:
+        self.weights, self.biases = ([named[f"{kind}.{i}"] for i in range(len(named) // 2)] for kind in ("weight", "bias"))
+        return self
+
+    @property
+    def latents(self) -> int:
+        """Numbers of one wing's latent."""
+        return (self.weights[-1].shape[1] - 1) // self.wings
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(latents, durations): durations are whole, rounded half to even, two at least."""
         out = self._forward(np.asarray(x, float))[-1]
@@ -67,20 +88,21 @@ class Regressor:
     def targets(self, latents: np.ndarray, durations: np.ndarray) -> np.ndarray:
         return np.concatenate([latents, ((np.log(durations) - self.duration_mean) / self.duration_sd)[:, None]], axis=1)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, duration_weight: float = 1.0) -> tuple[float, list[np.ndarray]]:
+    def gradient(self, x: np.ndarray, y: np.ndarray, duration_weight: float = 1.0, drop: Callable | None = None) -> tuple[float, list[np.ndarray]]:
         """(loss, gradients of weights then biases), summed over the rows; the loss is the mean squared latent error plus the weighted
-        one of the log duration."""
-        act, slope = _ACTIVATIONS[self.activation]
+        one of the log duration. drop(shape, place) gives the draws of dropout behind each hidden layer."""
+        act, slope = activation(self.activation)
+        masks = {i: (drop((len(x), n), i) >= self.dropout) / (1 - self.dropout) for i, n in enumerate(self.hidden, 1)} if drop and self.dropout else None
         scale = np.concatenate([np.full(y.shape[1] - 1, 1 / (y.shape[1] - 1)), [duration_weight]])
-        outs = self._forward(x)
+        outs = self._forward(x, masks)
         error = outs[-1] - y
         grad = 2 * error * scale
         gw, gb = [None] * len(self.weights), [None] * len(self.weights)
         for i in range(len(self.weights) - 1, -1, -1):
-            below = outs[i] if i == 0 else act(outs[i])
+            below = outs[i] if i == 0 else act(outs[i]) * (masks[i] if masks else 1)
             gw[i], gb[i] = below.T @ grad, grad.sum(axis=0)
             if i:
-                grad = (grad @ self.weights[i].T) * slope(outs[i])
+                grad = (grad @ self.weights[i].T) * slope(outs[i]) * (masks[i] if masks else 1)
         return float((error**2 * scale).sum()), gw + gb
 
     def fit(self, x: np.ndarray, latents: np.ndarray, durations: np.ndarray, epochs: int = 100, rate: float = 1e-3, batch: int = 32, seed: int = 0, duration_weight: float = 1.0) -> list[float]:
@@ -115,3 +137,37 @@ class Adam:
             v *= 0.999
             v += 0.001 * g * g
             p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
+@dataclass
+class Composite:
+    """From body channels of this beat and the next one to a beat: scaled input, regressor, decoder, and a length of its own.
+
+    decoder: anything with decode(latents). A paired representation has one latent a beat; else there are two, the left wing's first.
+    """
+
+    regressor: Regressor
+    decoder: object
+    indices: list[int]
+    offset: np.ndarray
+    scale: np.ndarray
+    representation: str = "sa"
+    with_next: bool = True
+    template: np.ndarray | None = None
+
+    def inputs(self, body: np.ndarray, following: np.ndarray | None) -> np.ndarray:
+        """Chosen channels, scaled; those of the next beat behind them if the regressor was trained with them."""
+        parts = [body, following] if self.with_next else [body]
+        return np.concatenate([(np.asarray(p, float)[:, self.indices] - self.offset) / self.scale for p in parts], axis=1)
+
+    def predict(self, body: np.ndarray, following: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(latents, durations)."""
+        return self.regressor.predict(self.inputs(body, following))
+
+    def wings(self, latents: np.ndarray) -> np.ndarray:
+        """Both wings' normalised residuals (rows, 6, length), left before right."""
+        if self.representation == "sa":
+            x = self.decoder.decode(latents)
+            return np.concatenate([x[:, :3] + x[:, 3:], x[:, :3] - x[:, 3:]], axis=1)
+        d = latents.shape[1] // 2
+        return np.concatenate([self.decoder.decode(latents[:, :d]), self.decoder.decode(latents[:, d:])], axis=1)

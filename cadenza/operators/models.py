@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from cadenza.functions import arrays as A
 from cadenza.functions import kernels as K
-from cadenza.functions.models import Adam, LinearEncoder, Regressor
+from cadenza.functions import registry as N
+from cadenza.functions.models import Adam, Composite, LinearEncoder, Regressor
+from cadenza.functions.registry import WING_SCALE
 from cadenza.operators import vectors as V
+from cadenza.operators.shapes import subsample as sampled
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +79,60 @@ def generated(rows: DataFrame, encoder, regressor: Regressor, features: str = "f
     return both.mapInPandas(run, _fields(kept) + ", beat array<array<double>>")
 
 
+def passed_through(rows: DataFrame, chain, column: str, name: str) -> DataFrame:
+    """Adds what a layer or a chain of layers makes of the column, channels by samples, as such."""
+    shared = rows.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{name: shared.value.forward(_stack(b[column]))[0].tolist() if len(b) else []})
+
+    return rows.mapInPandas(run, _fields(rows) + f", {name} array<array<double>>")
+
+
+def composed(rows: DataFrame, composite: Composite, body: str = "body", following: str = "next_body") -> DataFrame:
+    """Adds pred_latent, pred_duration, wings (both wings' normalised residuals at the decoder's length) and beat (channels by pred_duration
+    samples): for a paired representation its own channels, else both wings' residuals in their units, on the template if there is one."""
+    shared = rows.sparkSession.sparkContext.broadcast(composite)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for b in batches:
+            if not len(b):
+                yield b.assign(pred_latent=[], pred_duration=[], wings=[], beat=[])
+                continue
+            halves = [np.stack(b[x].to_numpy()).astype(float) for x in [body, following][: 1 + c.with_next]]
+            latents, durations = c.predict(halves[0], halves[1] if c.with_next else None)
+            wings = c.wings(latents)
+            if c.representation == "sa":
+                shapes = [K.resample(x.T, int(n)).T for x, n in zip(c.decoder.decode(latents), durations, strict=True)]
+            else:
+                scale = np.tile(WING_SCALE, 2)[:, None]
+                shapes = [K.resample((x * scale).T, int(n)).T for x, n in zip(wings, durations, strict=True)]
+                if c.template is not None:
+                    shapes = [x + np.tile(K.resample(c.template[:3].T, x.shape[1]).T, (2, 1)) for x in shapes]
+            yield b.assign(pred_latent=latents.tolist(), pred_duration=durations, wings=wings.tolist(), beat=[x.tolist() for x in shapes])
+
+    return rows.mapInPandas(run, _fields(rows) + ", pred_latent array<double>, pred_duration long, wings array<array<double>>, beat array<array<double>>")
+
+
+def background_cloud(beats: DataFrame, ident: str, mean: np.ndarray, representation: str = "sa", most: int = 4000, column: str = "beat") -> DataFrame:
+    """(ident, wing, sample, phi, theta, psi) in radians: the angles that at most `most` beats' residuals stand for, on the template, a row a
+    sample of a wing. Which beats, a digest of their ids decides. mean: the template at the beats' length, channels by samples."""
+    named = N.REPRESENTATIONS[representation]
+    picked = beats.select(F.col(ident).alias("_id"), F.col(column).alias("_b"))
+    picked = sampled(picked, "_id", most)
+    row = lambda c: F.transform(F.col("_b")[c], lambda x: x.cast("double") * F.lit(float(named.scale[c])))
+    lit = lambda c: F.array(*[F.lit(float(x)) for x in mean[c]])
+    on = lambda a, c: F.zip_with(a, lit(c), lambda x, m: x + m)
+    if named.paired:
+        sides = [[on(A.left_of(row(c), row(c + 3)), c) for c in range(3)], [on(A.right_of(row(c), row(c + 3)), c + 3) for c in range(3)]]
+    else:
+        sides = [[on(row(c), c) for c in range(3)]]
+    loops = F.array(*[F.struct(F.lit(k).alias("wing"), F.arrays_zip(*[a.alias(n) for a, n in zip(s, ("phi", "theta", "psi"), strict=True)]).alias("points")) for k, s in enumerate(sides)])
+    return picked.select(F.col("_id").alias(ident), F.explode(loops).alias("_l")).select(ident, "_l.wing", F.posexplode("_l.points").alias("sample", "_p")).select(ident, "wing", "sample", *[F.col("_p")[n].alias(n) for n in ("phi", "theta", "psi")])
+
+
 def fit_grid(rows: DataFrame, configs: DataFrame) -> DataFrame:
     """(run, val_loss, losses): one fit a configuration (run, hidden, rate, epochs, seed), all of them in step.
 
