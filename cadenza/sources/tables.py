@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,18 @@ def kept(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what kept() has written for df; all that is made of it must have been computed."""
+    if (path := getattr(df, "kept_at", None)) is None:
+        df.unpersist()
+        return
+    at, files = _files(df.sparkSession, path)
+    files.delete(at, True)
 
 
 def discover(spark: SparkSession, root: str, suffix: str = "", recursive: bool = True) -> DataFrame:
@@ -73,38 +85,95 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def write_dataset(df: DataFrame, path: str, metadata: dict) -> None:
-    """Rows under path/data and, when they are committed, one row of metadata under path/metadata."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    row = metadata | {"n_rows": df.sparkSession.read.parquet(f"{path}/data").count()}
-    df.sparkSession.createDataFrame([(json.dumps(row, sort_keys=True),)], "json string").withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/metadata")
+def _files(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_metadata(spark: SparkSession, path: str) -> dict | None:
-    from pyspark.errors import AnalysisException
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    at, files = _files(spark, f"{path}/commits")
+    return sorted(int(f.getPath().getName().split(".")[0]) for f in files.listStatus(at) if f.getPath().getName().endswith(".json")) if files.exists(at) else []
 
+
+def _commit_text(spark: SparkSession, path: str, number: int) -> dict | None:
+    """A commit's entry; None if its writer died while it wrote it, for then it isn't one."""
+    at, files = _files(spark, f"{path}/commits/{number:012d}.json")
+    stream = files.open(at)
     try:
-        return json.loads(spark.read.parquet(f"{path}/metadata").first()["json"])
-    except AnalysisException:
+        found = json.loads(bytes(stream.readAllBytes()).decode())
+    except ValueError:
         return None
+    finally:
+        stream.close()
+    return found if found.get("version") else None
+
+
+def _current(spark: SparkSession, path: str) -> dict | None:
+    return next((c for n in reversed(_commits(spark, path)) if (c := _commit_text(spark, path, n))), None)
+
+
+def write_dataset(df: DataFrame, path: str, metadata: dict) -> None:
+    """A new version of the dataset at path; readers see the one before until it is whole.
+
+    Rows go to a folder of their own. One small file then names the folder and holds the metadata: creating it, which fails if another
+    writer has taken the number, is the commit. A write that fails on the way leaves what was there. Of older versions the last one stays
+    for those who still read it.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    last = _commits(spark, path)
+    at = f"{path}/versions/{version}"
+    df.write.parquet(at)
+    n = spark.read.parquet(at).count()
+    entry = {"version": version, "metadata": metadata | {"n_rows": n}, "built_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    to, files = _files(spark, f"{path}/commits/{(last[-1] if last else 0) + 1:012d}.json")
+    stream = files.create(to, False)
+    stream.write(json.dumps(entry, sort_keys=True).encode())
+    stream.close()
+    known = [(k, _commit_text(spark, path, k)) for k in last]
+    for k, old in known[:-1]:
+        for gone in (f"commits/{k:012d}.json", *([f"versions/{old['version']}"] if old else [])):
+            here, _ = _files(spark, f"{path}/{gone}")
+            files.delete(here, True)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last whole version."""
+    found = _current(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no dataset at {path}")
+    return spark.read.parquet(f"{path}/versions/{found['version']}")
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict | None:
+    """The last whole version's metadata, n_rows among them."""
+    found = _current(spark, path)
+    return None if found is None else found["metadata"]
 
 
 def dataset_is_valid(spark: SparkSession, path: str, expected: dict) -> tuple[bool, str]:
-    """(valid, reason): metadata must be there and agree with every expected entry; the first that doesn't is the reason."""
+    """(valid, reason): a whole version must be there, its rows readable, and its metadata agree with every expected entry; the first that
+    doesn't is the reason."""
     found = read_metadata(spark, path)
     if found is None:
         return False, "no metadata"
     for key, value in expected.items():
         if found.get(key) != value:
             return False, f"{key}: {found.get(key)!r} is not {value!r}"
-    return True, "ok"
+    from pyspark.errors import AnalysisException
+
+    try:
+        n = read_dataset(spark, path).count()
+    except AnalysisException:
+        return False, "no rows to read"
+    return (True, "ok") if n == found["n_rows"] else (False, f"n_rows: {n} is not {found['n_rows']}")
 
 
 def ensure(spark: SparkSession, path: str, expected: dict, build) -> DataFrame:
     """The dataset at path, built by build() if it isn't there or is stale."""
     if not dataset_is_valid(spark, path, expected)[0]:
         write_dataset(build(), path, expected)
-    return spark.read.parquet(f"{path}/data")
+    return read_dataset(spark, path)
 
 
 def write_summary_csv(df: DataFrame, path: str, order: str) -> None:
@@ -132,7 +201,7 @@ def write_embedding(coordinates: DataFrame, path: str, metadata: dict, colours:
 
 def read_embedding(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], dict | None]:
     """(rows, names of the colours, metadata)."""
-    rows = spark.read.parquet(f"{path}/data")
+    rows = read_dataset(spark, path)
     return rows, [c.removeprefix("colour_") for c in rows.columns if c.startswith("colour_")], read_metadata(spark, path)
 
 
