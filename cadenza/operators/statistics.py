@@ -37,11 +37,14 @@ def robust_band(df: DataFrame, value: str, k: float = 5.0, by: list[str] | None
         mad = centre.crossJoin(R.quantile_row(df, F.abs(F.col(value) - F.lit(middle)), {"_mad": 0.5}))
         width = k * F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
         return mad.select("centre", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
-    centre = df.groupBy(*by).agg(F.median(value).alias("centre"), F.stddev_pop(value).alias("_sd"))
-    joined = df.join(centre, by)
-    mad = joined.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("centre"))).alias("_mad"), F.first("centre").alias("centre"), F.first("_sd").alias("_sd"))
+    centre = R.group_quantiles(df, value, by, {"centre": 0.5})
+    same = lambda other: [df[c].eqNullSafe(other[c]) for c in by]
+    off = df.join(centre, same(centre)).select(*[df[c] for c in by], F.abs(df[value] - centre["centre"]).alias("_off"))
+    mad = R.group_quantiles(off, "_off", by, {"_mad": 0.5})
+    sd = df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"))
     width = k * F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
-    return mad.select(*by, "centre", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
+    joined = sd.join(centre, [sd[c].eqNullSafe(centre[c]) for c in by]).join(mad, [sd[c].eqNullSafe(mad[c]) for c in by])
+    return joined.select(*[sd[c] for c in by], "centre", (F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high"))
 
 
 def tail_share(df: DataFrame, band: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -160,8 +163,9 @@ def split_by_key(keys: DataFrame, key: str, share: float = 0.15, seed: int = 0)
     """(key, role): whole keys go to val, the share rounded down but one at least, in the order of a seeded hash."""
     distinct = keys.select(key).distinct()
     n = distinct.count()
-    held = distinct.orderBy(F.xxhash64(F.lit(seed), key), key).limit(max(1, int(n * share))).withColumn("role", F.lit("val"))
-    return distinct.join(held, key, "left").withColumn("role", F.coalesce("role", F.lit("train")))
+    hashed = distinct.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    held = F.col("_nth") < max(1, int(n * share))
+    return R.ranked(hashed, "_h", key, "_nth").select(key, F.when(held, F.lit("val")).otherwise(F.lit("train")).alias("role"))
 
 
 def bucket_errors(df: DataFrame, score: str, error: str) -> DataFrame:

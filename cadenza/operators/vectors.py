@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from cadenza.functions import arrays as A
+from cadenza.operators import ranks as R
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,9 @@ def retrieval_summary(ranks: DataFrame, tops: tuple[int, ...] = (1, 5, 10, 50, 1
     percentile = F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))
     n = ranks.select("n").limit(1).collect()
     fits = [k for k in tops if n and k <= n[0]["n"]]
-    return ranks.agg(F.median("rank").cast("long").alias("median_rank"), F.avg("rank").alias("mean_rank"), F.median(percentile).alias("median_percentile"), *[F.avg((F.col("rank") < k).cast("double")).alias(f"top_{k}") for k in fits])
+    middle = R.quantile_row(ranks, "rank", {"_m": 0.5}).select(F.col("_m").cast("long").alias("median_rank")).crossJoin(R.quantile_row(ranks, percentile, {"median_percentile": 0.5}))
+    rest = ranks.agg(F.avg("rank").alias("mean_rank"), *[F.avg((F.col("rank") < k).cast("double")).alias(f"top_{k}") for k in fits])
+    return middle.crossJoin(rest).select("median_rank", "mean_rank", "median_percentile", *[f"top_{k}" for k in fits])
 
 
 def r2_by_dimension(df: DataFrame, predicted: str, true: str) -> DataFrame:
@@ -310,7 +313,7 @@ def report_predictor(pairs: DataFrame, name: str, predicted: str = "p", true: st
     r2 = r2_by_dimension(pairs, predicted, true).agg(F.avg("r2").alias("mean_r2"))
     found = retrieval_ranks(pairs, "id", predicted, true)
     percentile = F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))
-    ranks = found.agg(F.median(percentile).alias("median_percentile"), F.avg((F.col("rank") < 10).cast("double")).alias("top_10"))
+    ranks = found.agg(F.avg((F.col("rank") < 10).cast("double")).alias("top_10")).crossJoin(R.quantile_row(found, percentile, {"median_percentile": 0.5}))
     return mse.crossJoin(r2).crossJoin(ranks).select(F.lit(name).alias("predictor"), "mse", "mean_r2", "median_percentile", "top_10")
 
 
@@ -339,9 +342,9 @@ def achievable(rows: DataFrame, group: str = "label") -> DataFrame:
     near = exact_neighbours(rows, rows, 1, vector="x", apart=group)
     y = rows.select("id", F.col("y").cast("array<double>").alias("y"))
     pairs = near.join(y.select(F.col("id").alias("query"), F.col("y").alias("_a")), "query").join(y.select(F.col("id").alias("neighbour"), F.col("y").alias("_b")), "neighbour")
-    noise = pairs.agg(F.count(F.lit(1)).alias("n"), (F.avg(A.squared_distance(F.col("_a"), F.col("_b"))) / 2).alias("noise"), F.median(F.sqrt("d2")).alias("median_distance"))
+    noise = pairs.agg(F.count(F.lit(1)).alias("n"), (F.avg(A.squared_distance(F.col("_a"), F.col("_b"))) / 2).alias("noise")).crossJoin(R.quantile_row(pairs, F.sqrt("d2"), {"median_distance": 0.5}))
     variance = rows.select(F.posexplode("y").alias("dim", "u")).groupBy("dim").agg(F.var_pop(F.col("u").cast("double")).alias("v")).agg(F.sum("v").alias("variance"))
-    size = rows.agg(F.median(A.norm(F.col("x").cast("array<double>"))).alias("median_norm"))
+    size = R.quantile_row(rows, A.norm(F.col("x").cast("array<double>")), {"median_norm": 0.5})
     return noise.crossJoin(variance).crossJoin(size).withColumn("ceiling", 1 - F.col("noise") / F.greatest("variance", F.lit(1e-12)))
 
 
