@@ -6,12 +6,12 @@ mean. A left/right pair is (l_discount, l_tax) of `lineitem`; a latent is a row
 
 from __future__ import annotations
 
-from cadenza.plans import evaluation, events, latents, pairs, records, shapes
+from cadenza.plans import evaluation, events, latents, networks, pairs, records, shapes
 
 FLAGSHIP = "maneuver_scores"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (events, pairs, latents, records, shapes, evaluation):
+for part in (events, pairs, latents, records, shapes, evaluation, networks):
     for name, (query, sql) in part.QUERIES.items():
         QUERIES[name] = query
         if sql is not None:

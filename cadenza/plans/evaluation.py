@@ -7,7 +7,9 @@ from math import pi
 import numpy as np
 from cadenza.functions import registry as N
 from cadenza.operators import beats as B
+from cadenza.operators import graph as G
 from cadenza.operators import models as M
+from cadenza.operators import pruned as P
 from cadenza.operators import shapes as H
 from cadenza.operators import statistics as Q
 from cadenza.operators import vectors as V
@@ -343,3 +345,53 @@ def split_sizes(spark, d):
     """A new split keeps the rounded share of all keys, whole."""
     roles = Q.split_by_key(table(spark, d, "orders"), "o_custkey", 0.15)
     return roles.agg(F.count_if(F.col("role") == "val").alias("n_val"), F.count(F.lit(1)).alias("n_all"))
+
+
+@QUERIES.add(_V + f""", k AS (SELECT a.id AS query, b.id AS neighbour, {_D2.format(a="a.e", b="b.e")} AS d2 FROM v a, v b),
+o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) AS rank FROM k) SELECT query, CAST(rank AS INT) AS rank, neighbour, round(d2, 6) + 0.0 AS d2 FROM o WHERE rank <= 6""")
+def pruned_neighbours(spark, d):
+    """The six nearest of every vector among all, itself included, by lists and bounds."""
+    v = _v(spark, d)
+    return P.nearest(v, v, 6).neighbours.select("query", "rank", "neighbour", r("d2").alias("d2"))
+
+
+@QUERIES.add("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(min(o_totalprice), 2) AS least FROM orders GROUP BY 1")
+def report_texts(spark, d):
+    """Reports written as JSON texts, one for each group, and read back from them."""
+    import uuid
+
+    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_totalprice").alias("least"))
+    T.write_report(rows, at)
+    back = spark.read.text(at).select(F.from_json("value", "status string, n long, total double, least double").alias("r")).select("r.*")
+    return back.select("status", "n", F.round("total", 2).alias("total"), F.round("least", 2).alias("least"))
+
+
+_MAX = """, ru AS (SELECT traj, beat, value, CASE WHEN lag(value) OVER w IS NOT DISTINCT FROM value AND beat > 0 THEN 0 ELSE 1 END AS c FROM ev WINDOW w AS (PARTITION BY traj ORDER BY beat)),
+rn AS (SELECT *, sum(c) OVER (PARTITION BY traj ORDER BY beat) AS run FROM ru), pl AS (SELECT traj, run, any_value(value) AS value, min(beat) AS first, max(beat) AS last FROM rn GROUP BY traj, run),
+ar AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM pl WINDOW w AS (PARTITION BY traj ORDER BY run)),
+mx AS (SELECT traj, min((first + last) // 2) AS low, max((first + last) // 2) AS high FROM ar WHERE value > a AND value > b GROUP BY traj HAVING count(*) >= 2)"""
+
+
+@QUERIES.add(EV + _MAX + """ SELECT traj, beat, round((value + x) / 2 - 0.25, 6) + 0.0 AS s_phi, round((x - value) / 2, 6) + 0.0 AS a_psi, round((value - x) / 2, 6) + 0.0 AS a_phi FROM ev JOIN mx USING (traj) WHERE beat >= low AND beat < high""")
+def continuous_residuals(spark, d):
+    """Symmetric and asymmetric residuals at every frame between a flight's first and last peak; the template is flat."""
+    frames = beats(spark, d).select("traj", "beat", F.col("value").cast("double").alias("phi_l"), F.col("x").alias("psi_l"), F.lit(0.0).alias("theta_l"), F.col("x").alias("phi_r"), F.col("value").cast("double").alias("psi_r"), F.lit(0.0).alias("theta_r"))
+    mean = np.zeros((6, 5))
+    mean[[0, 3]] = 0.25
+    found = B.continuous_symmetric(frames, mean, "traj", "beat", 1)
+    return found.select("traj", "beat", r(F.col("residual")[0]).alias("s_phi"), r(F.col("residual")[5]).alias("a_psi"), r(F.col("residual")[3]).alias("a_phi"))
+
+
+@QUERIES.add(_V + f""", k AS (SELECT a.id AS q, b.id AS n, {_D2.format(a="a.e", b="b.e")} AS d2 FROM v a, v b), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, n) AS rank FROM k),
+m AS (SELECT d2, row_number() OVER (ORDER BY d2) AS i, count(*) OVER () AS c FROM o WHERE rank <= 20 AND q <> n)
+SELECT (SELECT count(*) FROM v) AS n, round(2 * d2, 6) AS epsilon, CAST(1 AS DOUBLE) AS trivial, CAST(0 AS DOUBLE) AS off FROM m WHERE i = (c - 1) // 2 + 1""")
+def diffusion_invariants(spark, d):
+    """A diffusion map's run: rows, twice the median squared neighbour distance, the constant mode's value, and how far the found vectors are
+    from lengths of one and right angles, among each other and to the operator's image of them."""
+    v = _v(spark, d).select("id", "v")
+    run = G.diffusion(V.exact_neighbours(v, v, 20), G.Diffusion(epsilon_scale=2.0, k=20, components=3, strict=False))
+    g = G._gram(run.vectors, "x", 3)
+    off = float(np.abs(g - np.eye(3)).max())
+    n = run.coordinates.count()
+    return spark.createDataFrame([(n, run.epsilon, run.trivial, off)], "n long, epsilon double, trivial double, off double").select("n", r("epsilon").alias("epsilon"), r("trivial", 5).alias("trivial"), r("off", 4).alias("off"))
