@@ -50,7 +50,8 @@ def fit(rows: DataFrame, n: int, k: int = K, reach: float = REACH, seed: int = 7
     """
     share = min(1.0, SAMPLE / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else rows
-    sample = np.array([r["vector"] for r in picked.orderBy("vec_id").select("vector").collect()], float)
+    column = picked.orderBy("vec_id").select("vector").toArrow()["vector"].combine_chunks()
+    sample = column.flatten().to_numpy().reshape(len(column), -1)
     random = np.random.default_rng(seed)
     size = sample.shape[1]
     rotation = np.linalg.qr(random.normal(size=(size, size)))[0]
@@ -89,8 +90,10 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
     (1 + EPSILON / sqrt(d))**2. What is left after all blocks is measured on the original vectors.
     """
     vectors, queries = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (vectors, queries))  # cosines stay as they are
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids, kind="stable") if len(np.unique(ids)) == len(ids) else np.lexsort((*vectors.T, ids))
     vectors, ids = vectors[order], ids[order]
+    fresh = np.append(True, (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1))  # equal rows count once
+    vectors, ids = vectors[fresh], ids[fresh]
     turned, asked = _unit(vectors) @ rotation, _unit(queries) @ rotation
     size = turned.shape[1]
     edges = [*range(0, size, COLUMNS), size]
@@ -101,11 +104,14 @@ def scan(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
         alive = np.flatnonzero(ids != own[i])
         seeds = alive[: 8 * k]
         first = ((turned[seeds] - q) ** 2).sum(axis=1)
-        best = np.partition(first, k - 1)[k - 1] if len(seeds) >= k else np.inf
+        safe = np.argpartition(first, k - 1)[:k] if len(seeds) > k else np.arange(len(seeds))
+        best = first[safe].max() if len(seeds) >= k else np.inf
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             part[alive] += ((turned[alive, a:b] - q[a:b]) ** 2).sum(axis=1)
             slack = (1 + EPSILON / b**0.5) ** 2 if b < size else 1 + 1e-9
             alive = alive[part[alive] * (size / b) <= best * slack + 1e-12]
+        part[seeds[safe]] = first[safe]  # those that the bound comes from are known in full and stay
+        alive = np.union1d(alive, seeds[safe])
         if len(alive) > 4 * k:
             alive = alive[part[alive] <= np.partition(part[alive], k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
         exact = (vectors[alive] * queries[i]).sum(axis=1) / (lengths[alive] * np.sqrt((queries[i] * queries[i]).sum()))
@@ -122,7 +128,7 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
     Queries are the rows whose id is divisible by `every`; candidates are all rows but the query's own. Lists are cut
     into blocks of candidates and of queries, so neither a list of most vectors nor a growing query set overloads a task.
     Null, zero and non-finite vectors take no part; of vectors of several lengths those of the most frequent one do. Equal rows of one
-    id count once; other columns don't matter; an empty table gives no row.
+    id count once; other columns don't matter; an empty table gives no row. A query whose lists hold fewer than k others probes more of them.
     """
     spark = vectors.sparkSession
     result = "query_id long, vec_id long, score double"
@@ -144,10 +150,14 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
         rotation, centroids = shared.value
         for frame in batches:
             x = _unit(np.stack(frame["vector"].to_numpy()).astype(float)) @ rotation if len(frame) else np.zeros((0, len(rotation)))
-            yield frame.assign(lists=np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32).tolist())
+            order = np.argsort(-(x @ centroids.T), axis=1, kind="stable").astype(np.int32)
+            enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1  # lists until there are k others for sure
+            yield frame.assign(lists=[o[: max(probes, n)].tolist() for o, n in zip(order, enough.tolist(), strict=True)])
 
     placed = written(rows.mapInPandas(put, "vec_id long, vector array<double>, list int"))
-    sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+    counted = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).collect()  # a row a list
+    sizes, held = {r["list"]: r["n"] for r in counted}, np.zeros(lists, np.int64)
+    held[[r["list"] for r in counted]] = [r["ids"] for r in counted]
     blocks = F.create_map(*[F.lit(x) for c, size in sizes.items() for x in (c, -(-size // BLOCK))])
     queries = rows.where(F.col("vec_id") % every == 0)
     rounds = max(1, -(-(queries.count() * probes // lists) // BLOCK))

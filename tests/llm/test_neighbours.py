@@ -78,3 +78,18 @@ def test_clusters_need_few_lists(spark):
 def test_repeated_rows(spark):
     e = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5])], "vec_id long, embedding array<double>")
     assert [(i, j) for i, rows in got(N.nearest(e)).items() for j, _ in rows] == [(0, 1)]
+
+
+def test_lists_with_few_rows_are_not_enough(spark, monkeypatch):
+    """Where the nearest list holds fewer than k others, more lists are probed until there are as many."""
+    fitted = N.fit
+    monkeypatch.setattr(N, "fit", lambda *a, **b: (*fitted(*a, **b)[:2], 1))
+    centres = np.random.default_rng(3).normal(size=(150, 24))
+    rows = [(i, (centres[i // 2] + 0.01 * (i % 2)).tolist()) for i in range(300)]
+    found = N.nearest(spark.createDataFrame([*rows, *rows[:20]], "vec_id long, embedding array<double>"), every=10)
+    ranks = {}
+    for r in found.collect():
+        ranks.setdefault(r.query_id, []).append(r.rank)
+    assert set(ranks) == set(range(0, 300, 10)) and all(sorted(x) == [1, 2, 3, 4, 5] for x in ranks.values())
+    few = N.nearest(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>"), every=1)
+    assert few.count() == 12
