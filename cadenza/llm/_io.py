@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
 import tempfile
@@ -51,11 +52,21 @@ _made: dict[str, str | None] = {}
 
 
 def _named(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    if not _made:
+        atexit.unregister(_clear)
+        atexit.register(_clear)
     _made[path] = name
     df.written_at = path
     return df
 
 
+def _clear() -> None:
+    """When the driver's program ends, what results were read from goes as well: by then they are written."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_since(spark, set())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
