@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from datetime import UTC, datetime
@@ -25,9 +26,26 @@ def kept(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    if not _kept:
+        atexit.unregister(_clear)
+        atexit.register(_clear)
+    _kept.add(path)
     return out
 
 
+#: What kept() has written and nothing has dropped.
+_kept: set[str] = set()
+
+
+def _clear() -> None:
+    """When the driver's program ends, what results were read from goes as well: by then they are written."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_kept):
+            at, files = _files(spark, path)
+            files.delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what kept() has written for df; all that is made of it must have been computed."""
     if (path := getattr(df, "kept_at", None)) is None:
@@ -35,6 +53,7 @@ def dropped(df: DataFrame) -> None:
         return
     at, files = _files(df.sparkSession, path)
     files.delete(at, True)
+    _kept.discard(path)
 
 
 def discover(spark: SparkSession, root: str, suffix: str = "", recursive: bool = True) -> DataFrame:

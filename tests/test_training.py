@@ -272,3 +272,23 @@ def test_grid_search(spark, tmp_path):
     with pytest.raises(ValueError):
         run_of({"fixed_len": 8, "channel_loss_weight": [1]})
     assert run_of({"fixed_len": 8, "channel_loss_weight": [1, 2]}).task.losses.channels == (1, 1, 1, 2, 2, 2)
+
+
+def test_kept_tables_go_at_the_end(tmp_path):
+    """A program that has written its result leaves nothing of kept() in the shared folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+from pyspark.sql import SparkSession
+from cadenza.sources import tables
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
+kept = tables.kept(spark.range(5))
+tables.dropped(tables.kept(kept))
+import os
+assert kept.count() == 5 and len([d for d in os.listdir("{tmp_path}/c") if "-" not in d]) == 1
+"""
+    subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, check=True, timeout=120)
+    assert not [d for d in os.listdir(tmp_path / "c") if "-" not in d]
