@@ -19,22 +19,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of exact and near copies."""
+    """One document of each class of exact and near copies: the smallest doc_id, one row of it. Null and empty texts are one class; an empty table stays empty."""
     return near_duplicates.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 200 bytes that occur twice, which every passage of over 50 words reaches."""
+    """Texts without strings of 200 bytes that occur twice, which every passage of over 50 words reaches. Null texts stay null, and all rows stay."""
     return suffix_array.without_repeats(docs, suffix_array.PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without spans that hold ten words of a benchmark item."""
+    """Texts without spans that hold ten words of a benchmark item. Null texts stay null, all rows stay, and without items so do the texts."""
     return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Pieces of sequences of 4096 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts are the end id
+    alone; an empty table gives no row."""
     return packing.pack(docs, with_ids=False)
 
 
