@@ -259,5 +259,8 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's words, those in windows of ten words of a benchmark item, and the items."""
+    """Each document's words, those in windows of ten words of a benchmark item, and the items.
+
+    Null and empty texts and items have no words; repeated rows each give a row; an empty table gives none, an empty benchmark no hit.
+    """
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

@@ -240,5 +240,8 @@ def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's language by the shortest exact code, learned from documents that aren't held out."""
+    """Each document's language by the shortest exact code, learned from documents that aren't held out.
+
+    Null texts, and those without a letter, are `und`; documents without a language are predicted but not learned from; repeated rows each give a row; an empty table gives none.
+    """
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))

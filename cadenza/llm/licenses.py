@@ -280,5 +280,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
 
 
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed phrases and licence templates in every document."""
+    """Fixed phrases and licence templates in every document.
+
+    Null and empty texts have no words and no labels; repeated rows each give a row; an empty table gives none.
+    """
     return scan(table(spark, sf_dir, "documents")).drop("spans")

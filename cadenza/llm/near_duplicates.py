@@ -311,5 +311,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's class of near copies at 0.8 on 5-word sets, and its text's links and copies."""
+    """Each document's class of near copies at 0.8 on 5-word sets, and its text's links and copies.
+
+    Null and empty texts are copies of each other and near to none; repeated rows each give a row and count as copies; an empty table gives none.
+    """
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

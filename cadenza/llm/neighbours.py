@@ -180,5 +180,8 @@ def nearest(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding"
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest by cosine of every vector whose vec_id is divisible by 50."""
+    """The five nearest by cosine of every vector whose vec_id is divisible by 50.
+
+    Null, zero and non-finite vectors take no part; equal rows count once; ties go to the smaller vec_id; an empty table gives no row.
+    """
     return nearest(table(spark, sf_dir, "embeddings"))

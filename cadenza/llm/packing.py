@@ -130,5 +130,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, end: i
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens.
+
+    Null and empty texts are the end id alone; repeated rows of one doc_id are documents of their own; an empty table gives no row.
+    """
     return pack(table(spark, sf_dir, "documents"), with_ids=False)

@@ -113,5 +113,8 @@ def _level(rows: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def op4_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 24 and its place there; equal texts are linked."""
+    """Every document's shard of 24 and its place there; equal texts are linked.
+
+    Null texts have eight bytes and the checksum of nothing; repeated rows each get a slot; an empty table gives none.
+    """
     return assign(table(spark, sf_dir, "documents").select("doc_id", "text"))

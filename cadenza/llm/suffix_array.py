@@ -253,5 +253,8 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's bytes, those in strings of 400 bytes that occur twice, their runs, a digest of the rest, and the bytes in strings of
-    200 that occur twice."""
+    200 that occur twice.
+
+    Null texts count as empty; repeated rows each give a row and count as places; an empty table gives none.
+    """
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -227,7 +227,10 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def op7_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids as read back from the wavelet files."""
+    """Every document's ids as read back from the wavelet files.
+
+    Null and empty texts are the end id alone; repeated rows of one doc_id stand one behind the other; an empty table gives no row.
+    """
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return read(spark, path, with_ids=False)
