@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
 from cadenza.llm import tokens
-from cadenza.llm._io import shared_dir, table, text_key
+from cadenza.llm._io import shared_dir, table
 
 #: Tokens of a block, about: blocks end with the document that fills them.
 BLOCK = 1 << 20
@@ -192,7 +192,8 @@ def write(docs: DataFrame, path: str, end: int = tokens.END_ID, vocabulary: str
     Spark's own writer commits the files, so lost executors leave no half shard, on any store.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text", *text_key()).repartitionByRange(n, "doc_id", "key_a", "key_b").sortWithinPartitions("doc_id", "key_a", "key_b")
+    tie = F.xxhash64("text").alias("tie")  # only puts rows of one doc_id in order; texts decide where it is equal
+    dealt = docs.select("doc_id", "text", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     dealt.select("doc_id", "text").mapInArrow(_blocks(end, vocabulary), _FILE).write.option("compression", "zstd").parquet(path)
 
 
