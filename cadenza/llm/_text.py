@@ -219,7 +219,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:

@@ -163,7 +163,7 @@ def _blocks(end: int, vocabulary: str | None):
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
         for whole in batches:
-            for batch in T.slices(whole, "text", 10 << 20, keep=True):
+            for batch in T.slices(whole, "text", 20 << 20, keep=True):
                 ids, offsets = tokens.with_end(*coder.encode(batch.column(batch.schema.get_field_index("text"))), end)
                 docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
                 at = 0
