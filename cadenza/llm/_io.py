@@ -94,6 +94,15 @@ def drop_since(spark: SparkSession, before: set[str]) -> None:
         delete(spark, path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sort and merge, for sides that grow with the input.
+
+    Spark judges a written table by its files. These hold compressed keys and spans: what is under its limit for broadcasts there can be
+    millions of rows, and their hash table goes through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def text_key(text: str = "text") -> list:
     """128 bits of the text's SHA-256 as two long columns key_a and key_b (a null counts as empty): no two texts can be made to share them."""
     digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)

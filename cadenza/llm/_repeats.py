@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import drop, written
+from cadenza.llm._io import drop, joined, written
 
 #: (segments' units end to end, segment offsets, weights, window size) -> repeated windows, a flag at each window start
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -253,7 +253,7 @@ def _count_hot(hot: DataFrame, size: int, words: bool) -> DataFrame:
     """
     windows = written(hot.mapInArrow(_each_window(size, words), "anchor long, seg binary, weight long, begin int, window binary"))
     common = written(windows.groupBy("window").agg(F.sum("weight").alias("uses")).where("uses > 1").select("window"))
-    return windows.join(common, "window").select("anchor", "seg", "begin", F.lit(1).alias("length"))
+    return joined(windows, common, "window").select("anchor", "seg", "begin", F.lit(1).alias("length"))
 
 
 def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, words: bool, most: int = 5000, kernel_on_copies: bool = False) -> DataFrame:
@@ -265,13 +265,14 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
     places = written(texts.mapInArrow(segments(size, gram, words), "key_a long, key_b long, start int, n int, anchor long, seg binary, copies long, own long"))
     place = F.xxhash64("key_a", "key_b", "start")
     repeated = written(places.groupBy("anchor").agg(F.sum(F.col("copies") + F.col("own")).alias("uses")).where("uses > 1").select("anchor"))
-    candidates = written(places.join(repeated, "anchor"))
+    candidates = written(joined(places, repeated, "anchor"))
     drop(places, repeated)
     kinds = candidates.groupBy("anchor", "seg").agg(F.sum("copies").alias("weight"), F.min(place).alias("first"))
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     salted = anchors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    wanted = written(kinds.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
-    flagged = written(candidates.drop("copies", "own").join(wanted, ["anchor", "seg"]))
+    kinds = kinds.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int"))
+    wanted = written(joined(kinds, salted, ["anchor", "salt"]).select("anchor", "seg", "weight", "first", "kinds"))
+    flagged = written(joined(candidates.drop("copies", "own"), wanted, ["anchor", "seg"]))
     drop(candidates)
     alone = F.lit(False) if kernel_on_copies else (F.col("kinds") == 1) & (F.col("weight") > 1)
     whole = flagged.where(alone).select("key_a", "key_b", "start", F.col("n").alias("length"))
@@ -282,7 +283,7 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
         .agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "weight", "kinds")).alias("asked"))
     )
     fields = "anchor long, seg binary, weight long, n int, units binary"
-    give = lambda keep: texts.join(asked, ["key_a", "key_b"]).withColumn("asked", F.filter("asked", lambda x: keep(x["kinds"]))).where(F.size("asked") > 0).mapInArrow(_contents(size, words), fields)
+    give = lambda keep: joined(texts, asked, ["key_a", "key_b"]).withColumn("asked", F.filter("asked", lambda x: keep(x["kinds"]))).where(F.size("asked") > 0).mapInArrow(_contents(size, words), fields)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = give(lambda kinds: kinds <= most).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, words, kernel), "anchor long, seg binary, begin int, length int")
     answers = cold
@@ -290,5 +291,5 @@ def repeated_spans(texts: DataFrame, kernel: Kernel, *, size: int, gram: int, wo
         answers = cold.unionByName(_count_hot(give(lambda kinds: kinds > most), size, words))
     answers = written(answers)
     drop(wanted)
-    found = rest.select("key_a", "key_b", "start", "anchor", "seg").join(answers, ["anchor", "seg"]).select("key_a", "key_b", (F.col("start") + F.col("begin")).alias("start"), "length")
+    found = joined(rest.select("key_a", "key_b", "start", "anchor", "seg"), answers, ["anchor", "seg"]).select("key_a", "key_b", (F.col("start") + F.col("begin")).alias("start"), "length")
     return whole.unionByName(found).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, distinct_texts, numbered, table, text_key, written
+from cadenza.llm._io import bucketed, distinct_texts, joined, numbered, table, text_key, written
 from cadenza.llm._repeats import repeated_spans, stretches
 
 SIZE = 400
@@ -240,15 +240,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Null texts stay null; rows, other columns and their order stay.
     """
     texts = bucketed(distinct_texts(docs), "key_a", "key_b")
-    hit = texts.join(repeated_byte_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
+    hit = joined(texts, repeated_byte_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
     plain, names = numbered(docs)
-    joined = plain.select("*", *text_key(names["text"])).join(hit, ["key_a", "key_b"], "left")
+    out = joined(plain.select("*", *text_key(names["text"])), hit, ["key_a", "key_b"], "left")
     text = F.col(names["text"])
     fresh = {"text": F.when(text.isNotNull(), F.coalesce("kept", text))}
     if "n_chars" in names:
         n = F.col(names["n_chars"])
         fresh["n_chars"] = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(n)
-    return joined.select(*[fresh.get(c, F.col(n)).alias(c) for c, n in names.items()])
+    return out.select(*[fresh.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,28 @@ def test_kernels_under_weak_hashes(monkeypatch, seed):
             want[at + i] = seen[t[i : i + 12]] > 1
     for kernel in (suffix_array.repeated_windows, substring.repeated_windows):
         assert (kernel(data, offsets, np.ones(len(texts), np.int64), 12) == want).all()
+
+
+def plans_of(spark, run):
+    """The plans of all that run() executes."""
+    status = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in listed(status)}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return [x.physicalPlanDescription() for x in listed(status) if x.executionId() not in before]
+
+
+def listed(status):
+    found = status.executionsList()
+    return [found.apply(i) for i in range(found.size())]
+
+
+@pytest.mark.parametrize("operator", [suffix_array.without_repeats])
+def test_nothing_that_grows_is_broadcast(spark, operator):
+    """Small files can be many rows: their hash tables once filled the driver at 0.5 GB of documents."""
+    base = "".join(random.Random(3).choices("abcdefgh ", k=900))
+    texts = [base + "x", "y" + base, "z " * 300, "plain", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans = plans_of(spark, lambda: operator(docs).collect())
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastExchange" in p for p in plans)
