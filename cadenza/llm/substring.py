@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import _text as T
-from cadenza.llm._io import bucketed, distinct_texts, numbered, table, text_key
+from cadenza.llm._io import bucketed, distinct_texts, joined, numbered, table, text_key
 from cadenza.llm._repeats import repeated_spans
 
 SIZE = 35
@@ -153,9 +153,9 @@ def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256. A null text has no words; repeated rows of one doc_id each give
     a row and count as places; an empty table gives none. Very long texts are hashed in pieces and never cut. Other columns don't matter."""
     texts = bucketed(distinct_texts(docs), "key_a", "key_b")
-    found = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"], "left")
+    found = joined(texts, repeated_word_spans(texts, size), ["key_a", "key_b"], "left")
     by_text = found.mapInArrow(_digest(size), "key_a long, key_b long, n_words long, n_removed long, kept_sha256 string")
-    return docs.select("doc_id", *text_key()).join(by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
+    return joined(docs.select("doc_id", *text_key()), by_text, ["key_a", "key_b"]).drop("key_a", "key_b")
 
 
 def _kept(size: int):
@@ -180,12 +180,12 @@ def _kept(size: int):
 def without_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """docs whose repeated passages of `size` words are gone; such texts' words are joined by one space, others stay as they are."""
     texts = bucketed(distinct_texts(docs), "key_a", "key_b")
-    hit = texts.join(repeated_word_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
+    hit = joined(texts, repeated_word_spans(texts, size), ["key_a", "key_b"]).mapInArrow(_kept(size), "key_a long, key_b long, kept string")
     plain, names = numbered(docs)
     text = F.col(names["text"])
-    joined = plain.select("*", *text_key(names["text"])).join(hit, ["key_a", "key_b"], "left")
+    out = joined(plain.select("*", *text_key(names["text"])), hit, ["key_a", "key_b"], "left")
     fresh = {"text": F.when(text.isNotNull(), F.coalesce("kept", text))}
-    return joined.select(*[fresh.get(c, F.col(n)).alias(c) for c, n in names.items()])
+    return out.select(*[fresh.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
