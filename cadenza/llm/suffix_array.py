@@ -199,11 +199,11 @@ def digests(docs: DataFrame, size: int = SIZE, passage: int = PASSAGE) -> DataFr
     short = written(repeated_byte_spans(texts, passage))
     windows = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     long = written(short.where(windows > size - passage).select(*keys))
-    spans = written(repeated_byte_spans(texts.join(long, keys), size))
-    found = texts.join(spans, keys, "left").join(short.withColumnRenamed("spans", "short"), keys, "left")
+    spans = written(repeated_byte_spans(joined(texts, long, keys), size))
+    found = joined(joined(texts, spans, keys, "left"), short.withColumnRenamed("spans", "short"), keys, "left")
     fields = "key_a long, key_b long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long"
     by_text = found.mapInArrow(_digest(size, passage), fields)
-    return docs.select("doc_id", *text_key()).join(by_text, keys).drop(*keys)
+    return joined(docs.select("doc_id", *text_key()), by_text, keys).drop(*keys)
 
 
 def _whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:

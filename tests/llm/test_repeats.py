@@ -261,7 +261,7 @@ def listed(status):
     return [found.apply(i) for i in range(found.size())]
 
 
-@pytest.mark.parametrize("operator", [suffix_array.without_repeats, substring.digests, substring.without_passages])
+@pytest.mark.parametrize("operator", [suffix_array.without_repeats, suffix_array.digests, substring.digests, substring.without_passages])
 def test_nothing_that_grows_is_broadcast(spark, operator):
     """Small files can be many rows: their hash tables once filled the driver at 0.5 GB of documents."""
     base = "".join(random.Random(3).choices("abcdefgh ", k=900))
