@@ -6,6 +6,8 @@ batch's different words are found in Arrow, new ones go through the library, and
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -15,7 +17,8 @@ from cadenza.llm import _text as T
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+_TOGETHER = 4096  # new words that go through the library at once
 #: Letters that stay letters when they are normalised (NFC) and lower-cased. İ gets a combining dot, and letters of other scripts
 #: can fall apart under NFC; a mark would join the punctuation behind it, so words with such letters are coded whole.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ƿǍ-ʯΆΈ-ΊΌΎ-ΡΣ-ώА-яЀ-ҁҊ-ԯ"
@@ -39,22 +42,42 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Only words that came up in more than one batch since the last time stay; none if these alone are too many."""
+        keep = self.uses > 1
+        if keep.sum() > self.most // 2:
+            self._clear()
+            return
+        counts = np.diff(self.starts)[keep]
+        self.ids = self.ids[T.ranges(self.starts[:-1][keep], counts)]
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.known = {word: i for i, word in enumerate(compress(self.known, keep.tolist()))}  # a dict keeps the order of its words
+        self.uses = np.ones(len(self.known), np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        coded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))
+        counts, ids = [], []
+        for at in range(0, len(words), _TOGETHER):
+            some = words[at : at + _TOGETHER]
+            coded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.array(coded.ids, np.uint32))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, np.array(coded.ids, np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Numbers of the words in the store, after learning what is new."""
         if len(self.known) > self.most:
-            self._clear()
+            self._shrink()
         new = list(set(words) - self.known.keys())
         if new:
             self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[places] += 1
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, offsets of texts); nulls are empty."""

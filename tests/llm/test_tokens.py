@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cadenza.llm import packing, tokens, wavelet
 from tokenizers import Tokenizer
@@ -130,3 +131,25 @@ def test_cut_covers_and_wastes_little():
         pieces = packing.cut(n, 4096, 0.02)
         assert sum(p for p, _ in pieces) == n
         assert all(p * k <= 4096 and p * k >= 0.98 * 4096 - k for p, k in pieces)
+
+
+def test_words_of_several_batches_stay_known(library, monkeypatch):
+    """A full store lets go of words that came up once; ids stay the library's."""
+    coder = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY), most=40)
+    monkeypatch.setattr(tokens, "_TOGETHER", 7, raising=False)
+    learn, learnt = coder._learn, []
+    monkeypatch.setattr(coder, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    for batch in range(12):
+        texts = [" ".join(f"Usual{chr(97 + i)}, rare{chr(97 + batch)}{chr(97 + i)}" for i in range(12)), None, "usuala"]
+        ids, offsets = coder.encode(pa.array(texts))
+        assert [[*ids[a:b].tolist(), 2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [coded(library, t or "") for t in texts]
+    assert len(learnt) > 140 and learnt.count("usuala") == 1
+    assert len(coder.known) == len(coder.uses) == len(coder.starts) - 1 < 80
+
+
+@pytest.mark.parametrize("most", [0, 5])
+def test_store_too_small_for_common_words(library, most):
+    coder = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY), most=most)
+    for _ in range(5):
+        ids, _ = coder.encode(pa.array(["one two three four five six seven"]))
+        assert [*ids.tolist(), 2] == coded(library, "one two three four five six seven")
